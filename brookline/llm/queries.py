@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import bpe, ngram_join, packing, token_orc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op3_bpe_encode": bpe.op3_bpe_encode,
+    "op4_token_orc": token_orc.op4_token_orc,
+    "op9_pack_documents": packing.op9_pack_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {}
