@@ -131,11 +131,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased (A-Z) byte strings data[start:end]."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end], lower-cased (A-Z) unless told otherwise."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lowered = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
+    lowered = np.frombuffer(data.tobytes().translate(LOWER), np.uint8) if lower else data
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[lowered] * _power(RADIX, len(data)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power(RADIX_INVERSE, len(data))[starts])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_join, packing, token_orc
+from . import bpe, language, ngram_join, packing, quality_model, quality_rules, token_orc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_bpe_encode": bpe.op3_bpe_encode,
     "op4_token_orc": token_orc.op4_token_orc,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_language_id": language.op6_language_id,
+    "op7_quality_model": quality_model.op7_quality_model,
     "op9_pack_documents": packing.op9_pack_documents,
 }
 
