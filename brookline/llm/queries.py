@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, ngram_join, packing, quality_model, quality_rules, token_orc
+from . import bpe, language, licenses, ngram_join, packing, quality_model, quality_rules, spotsigs, token_orc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_language_id": language.op6_language_id,
     "op7_quality_model": quality_model.op7_quality_model,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_pack_documents": packing.op9_pack_documents,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
