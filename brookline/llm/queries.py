@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licenses, ngram_join, packing, quality_model, quality_rules, spotsigs, token_orc
+from . import bpe, katz, language, licenses, ngram_join, packing, quality_model, quality_rules, spotsigs, token_orc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_katz_scores": katz.op2_katz_scores,
     "op3_bpe_encode": bpe.op3_bpe_encode,
     "op4_token_orc": token_orc.op4_token_orc,
     "op5_quality_rules": quality_rules.op5_quality_rules,
