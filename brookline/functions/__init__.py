@@ -1,0 +1 @@
+"""Types, scalar functions and the compilation of expressions to columns."""

@@ -1,0 +1 @@
+"""Operators of pipelines, and of mutations."""

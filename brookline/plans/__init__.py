@@ -1,0 +1 @@
+"""The language: tokens, trees, and their compilation to DataFrame plans."""

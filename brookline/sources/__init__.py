@@ -1,0 +1 @@
+"""Models and tables."""
