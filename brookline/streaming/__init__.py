@@ -1,0 +1 @@
+"""Pipelines over streams."""
