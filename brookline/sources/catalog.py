@@ -141,7 +141,8 @@ class SchemaParser(Parser):
     def member(self, model: Model, bare: list) -> None:
         t = self.word()
         if t.text == "scope":
-            model.scopes[self.word().text] = self.operators()
+            name = self.word().text
+            model.scopes[name] = self.operators()
         elif t.text in ("hasMany", "hasOne", "belongsTo"):
             bare.append((t.text, self.word().text, t.pos))
         elif t.text == "field":
