@@ -29,12 +29,13 @@ class Scratch:
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> str:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> str:
+        """Writes a table; ``by`` names a column whose values get a folder each."""
         path = f"{self.path}/{name}"
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return path

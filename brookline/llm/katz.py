@@ -31,7 +31,7 @@ CHUNK, PARTITION = 8_000_000, 4_000_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CHUNKS = "docs binary, held binary, lengths binary, words binary, tokens binary"
 SENT = "chunk long, bucket int, keys binary, counts binary"
-ANSWERS = "bucket int, chunk long, keys binary, counts binary, mine binary"
+ANSWERS = "kind string, bucket int, chunk long, keys binary, counts binary, mine binary"
 
 
 def chunk_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,9 @@ def add_up(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     return pa.table([
-        pa.array([bucket] * (len(chunks) + 1), pa.int32()), pa.array([None, *chunks], pa.int64()), pa.array([found[known].tobytes(), *[None] * len(chunks)], pa.binary()),
+        pa.array(["table", *["answers"] * len(chunks)], pa.string()), pa.array([bucket] * (len(chunks) + 1), pa.int32()), pa.array([None, *chunks], pa.int64()), pa.array([found[known].tobytes(), *[None] * len(chunks)], pa.binary()),
         pa.array([total[known].tobytes(), *[answer[a:b].tobytes() for a, b in spans]], pa.binary()), pa.array([None, *[np.packbits(mine[a:b]).tobytes() for a, b in spans]], pa.binary()),
-    ], names=["bucket", "chunk", "keys", "counts", "mine"])
+    ], names=["kind", "bucket", "chunk", "keys", "counts", "mine"])
 
 
 def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(table: DataFrame) -> np.ndarray:
     """The sums of all partitions; a few numbers a task."""
-    sums = table.where("chunk is null").select("counts").mapInArrow(_sums, "s array<long>")
+    sums = table.select("counts").mapInArrow(_sums, "s array<long>")
     row = sums.agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(RELIABLE + 3)]).first()
     return np.array([x or 0 for x in row], np.int64)
 
@@ -295,7 +295,7 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Trained on the rows where ``held_out`` is false (null: false). Tokens: lower-cased (A-Z) words and one end; a null
     or empty text is its end alone. A null doc_id comes out as -1. Without training rows all tokens are unknown, with
-    probability 1. Other columns are ignored; an empty table gives an empty result. Words and bigrams are told apart
+    probability 1. An empty table gives an empty result. Other columns are ignored. Words and bigrams are told apart
     by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -305,16 +305,18 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     chunks = scratch.table(chunks, "chunks")
     size = chunks.agg(F.sum(F.octet_length("tokens")), F.count("*")).first()
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) if (size[0] or 0) > 4 * PARTITION else 4, 10**6), -(-(size[0] or 0) // 4 // PARTITION))
-    tables = []
+    answers, sums = None, []
     for order in (1, 2):
         sent = chunks.mapInArrow(sends(order, buckets), SENT)
-        tables.append(scratch.table(sent.groupBy("bucket").applyInArrow(add_up, ANSWERS), f"order-{order}"))
-    training = documents(docs).where(~F.coalesce(held_out, F.lit(False))).count()
-    model = Model(statistics(tables[0]), statistics(tables[1]), training)
-    answers = None
-    for n, table in enumerate(tables, 1):
-        own = table.where("chunk is not null").select("chunk", "bucket", "counts", "mine", F.lit(n).alias("n"))
+        path = scratch.write(sent.groupBy("bucket").applyInArrow(add_up, ANSWERS), f"order-{order}", "kind")
+        read = spark.read.schema(ANSWERS.removeprefix("kind string, "))
+        sums.append(statistics(read.parquet(f"{path}/kind=table")) if (size[1] or 0) else np.zeros(RELIABLE + 3, np.int64))
+        # The tables have served: what is asked of them is answered.
+        scratch.drop(f"order-{order}/kind=table")
+        own = read.parquet(f"{path}/kind=answers" if size[1] else path).select("chunk", "bucket", "counts", "mine", F.lit(order).alias("n"))
         answers = own if answers is None else answers.union(own)
+    training = documents(docs).where(~F.coalesce(held_out, F.lit(False))).count()
+    model = Model(*sums, training)
     state = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate(model, buckets), STATE)
     state = scratch.table(state, "state")
     scratch.drop("chunks", "order-1", "order-2")
