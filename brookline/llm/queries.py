@@ -17,4 +17,4 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
