@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import time
-from dataclasses import dataclass, field
+from collections import deque
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import RUNTIME, QueryError
-from .operators.inspection import inspected
+from .operators import advisor
+from .operators.inspection import inspected, runtime
 from .operators.mutations import Mutator
 from .plans.compiler import Compiler, Result
 from .plans.frames import Context, Variable
@@ -22,6 +24,8 @@ from .sources.catalog import Catalog, Model, empty, model_of, parquet
 from .sources.tables import Tables, materialized
 
 CHANGES = {"insert", "update", "delete"}
+#: Metric records that a session keeps, the latest.
+KEPT_RECORDS = 10_000
 
 
 @dataclass
@@ -35,7 +39,6 @@ class Outcome:
     updated: int = 0
     deleted: int = 0
     inspect: str = ""
-    counters: dict[str, int] = field(default_factory=dict)
 
 
 class Session:
@@ -43,7 +46,7 @@ class Session:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.catalog, self.tables = spark, Catalog(), Tables()
-        self.open = False
+        self.open, self.records = False, deque(maxlen=KEPT_RECORDS)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # Models
@@ -73,6 +76,8 @@ class Session:
     def run(self, text: str, params: dict[str, object] | None = None) -> str:
         """The response to a request; errors are lines of text too."""
         word = text.strip().upper()
+        if re.fullmatch(r"inspect\s+runtime(\s+--format\s+json)?", text.strip()):
+            return runtime(self.spark) + "\n"
         try:
             if word in ("BEGIN", "COMMIT", "ROLLBACK"):
                 return self.control(word)
@@ -103,9 +108,32 @@ class Session:
 
     def execute(self, text: str, params: dict[str, object] | None = None, flat: bool = False, lazy: bool = False) -> Outcome:
         """Runs all statements as one unit: an error undoes the request's changes."""
-        statements = parse_request(text)
-        context = Context({}, params or {}, time.time_ns() // 1000)
-        out = Outcome()
+        began, failed, out, statements = time.time_ns(), True, Outcome(), []
+        try:
+            statements = parse_request(text)
+            self._execute(statements, Context({}, params or {}, began // 1000), out, flat, lazy)
+            failed = False
+        finally:
+            self._record(began, statements, out, failed)
+        return out
+
+    def _record(self, began: int, statements: list, out: Outcome, failed: bool) -> None:
+        """A metric record of a request. Rows scanned and matched are Spark's to know and stay 0 here."""
+        kinds = {op.kind for s in statements if isinstance(s, Pipeline) for op in s.ops}
+        changes = kinds & CHANGES
+        operation = "mixed" if len(changes) > 1 else changes.pop() if changes else "select"
+        self.records.append((began // 1000, operation, "where" in kinds, failed, False, 0, 0, 0, 0, 0, 0, 0, time.time_ns() - began))
+
+    def metrics(self) -> DataFrame:
+        """The kept records, a row a request, as the advisor takes them."""
+        return self.spark.createDataFrame(list(self.records), advisor.SCHEMA)
+
+    def advise(self, records: DataFrame | None = None) -> dict[str, dict]:
+        """Each rule's row, over the session's records or given ones."""
+        records = self.metrics() if records is None else records
+        return {name: rule(records).first().asDict() for name, rule in advisor.RULES.items()}
+
+    def _execute(self, statements: list, context: Context, out: Outcome, flat: bool, lazy: bool) -> None:
         savepoint = dict(self.tables.staged) if self.open else None
         if not self.open:
             self.tables.begin()
@@ -128,7 +156,6 @@ class Session:
             raise
         if not self.open:
             self.tables.commit()
-        return out
 
     def _undo(self, savepoint: dict[str, DataFrame] | None) -> None:
         if savepoint is None:

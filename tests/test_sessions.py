@@ -128,3 +128,24 @@ def test_stream(spark, tmp_path):
     assert sorted(r.d for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2 * i for i in range(20) if i % 3 == 1]
     with pytest.raises(QueryError):
         pipelines.stream(source, "M", "M |> sort(id asc) { id }")
+
+
+def test_metrics_and_advice(s):
+    s.run("User |> where(nothing == 1) { id }")
+    last = s.metrics().orderBy("ts").collect()[-1]
+    assert last.had_error and last.has_predicate and last.operation == "select" and last.total_ns > 0
+    assert set(s.advise()) == {"queue_pressure", "spill_ratio", "low_selectivity", "latency_spikes"}
+    assert s.run("inspect runtime --format json").startswith('{"parallelism"')
+
+
+def test_advice_thresholds(spark):
+    from brookline.operators import advisor
+
+    rows = [(i, "select", True, False, i % 4 == 0, 0, 0, 100, 10 if i % 2 else 90, 2, 2, i // 6, 90_000_000 if i % 12 == 0 else 1_000_000) for i in range(40)]
+    found = {k: rule(spark.createDataFrame(rows, advisor.SCHEMA)).first() for k, rule in advisor.RULES.items()}
+    assert found["queue_pressure"].triggered and found["queue_pressure"].severity == "critical" and found["queue_pressure"].edges == 6
+    assert found["spill_ratio"].triggered and found["spill_ratio"].spills == 10 and found["spill_ratio"].severity == "warning"
+    assert (found["low_selectivity"].low, found["low_selectivity"].lowest_ppm) == (20, 100_000)
+    assert (found["latency_spikes"].spikes, found["latency_spikes"].median_ns, found["latency_spikes"].threshold_ns) == (4, 1_000_000, 6_000_000)
+    none = {k: rule(spark.createDataFrame([], advisor.SCHEMA)).first() for k, rule in advisor.RULES.items()}
+    assert not none["queue_pressure"].triggered and none["latency_spikes"].samples == 0
