@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RUNTIME, QueryError
-from ..functions.expressions import Value, checked, compile_expression, first_error, literal, matches
+from ..functions.expressions import Value, compile_expression, first_error, literal, matches
 from ..functions.types import INTEGERS, SPARK
 from ..plans.compiler import Compiler
 from ..plans.frames import Frame

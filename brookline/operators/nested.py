@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions.expressions import checked, compile_expression
 from ..plans.frames import ORDER, Context, Frame
-from ..plans.nodes import Field, Op
+from ..plans.nodes import Field, Name
 from . import rows
 
 KEY, RANK = "__parent", "__rank"
@@ -57,18 +57,12 @@ def children(source: Frame, target_column: str, field: Field, context: Context)
     for f in chosen:
         if f.nested is not None:
             raise QueryError("only one level of relations can be selected", "QueryExecutionError", "execution", "query", *f.pos)
-        v = compile_expression(f.expr, scope) if f.expr is not None else compile_expression(_name(f), scope)
+        v = compile_expression(f.expr if f.expr is not None else Name(f.pos, f.name), scope)
         fields.append((f.name, v.type))
         columns.append(checked(v).alias(f"__c{len(columns)}"))
     return Frame(frame.df.select(KEY, RANK, *columns), {n: (f"__c{k}", t) for k, (n, t) in enumerate(fields)}), fields
 
 
-def _name(f: Field):
-    from ..plans.nodes import Name
-
-    return Name(f.pos, f.name)
-
-
 def _rank(frame: Frame, pending: list[Column]) -> Column:
     order = [*pending, F.col(ORDER)] if ORDER in frame.df.columns else pending or [F.lit(0)]
     return F.row_number().over(Window.partitionBy(KEY).orderBy(*order))

@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.expressions import Value, checked, compile_expression, matches
+from ..functions.expressions import Value, checked, compile_expression, literal, matches
+from ..functions.types import comparable
 from ..plans.frames import ORDER, Context, Frame, Variable, aggregate, aggregate_calls
-from ..plans.nodes import Call, Expr, Name, Op, Selection, Unary, walk
+from ..plans.nodes import Binary, Call, Expr, Literal, Name, Op, Param, Selection, Unary, walk
 from ..plans.parser import AGGREGATES
 
 
@@ -75,8 +76,6 @@ def _membership(frame: Frame, e: Expr, context: Context) -> Frame | None:
 
 
 def _same_kind(needle: Value, variable: Variable, call: Call) -> None:
-    from ..functions.types import comparable
-
     if not comparable(needle.type, variable.type):
         raise QueryError("values of these types can't be compared", "TypeMismatch", "execution", "query", *call.pos)
 
@@ -105,8 +104,6 @@ def with_members(frame: Frame, e: Expr | None, context: Context):
 
 def _scalar_member(needle: Value, value: object, pos: tuple[int, int]) -> Column:
     """A variable of one value is a list of one."""
-    from ..functions.expressions import literal
-
     if isinstance(value, list):
         return needle.column.isin(*[literal(x).column for x in value]) if value else F.when(needle.column.isNotNull(), False)
     v = literal(value.scalar if isinstance(value, Variable) else value)
@@ -136,8 +133,6 @@ def bound(op: Op, context: Context) -> int | None:
 
 def constant(e: Expr, context: Context) -> object:
     """An expression without columns, evaluated on the driver; None where it fails."""
-    from ..plans.nodes import Binary, Literal, Param
-
     if isinstance(e, Literal):
         return e.value
     if isinstance(e, Param):
@@ -164,7 +159,7 @@ def group(frame: Frame, op: Op, later: list[Op], selection: Selection | None, co
     Other columns that are used later are those of the group's first row in source order. ``extra`` are columns that
     are kept as keys besides (a parent's key).
     """
-    names = [n for n in op.names]
+    names = list(op.names)
     if not names:
         raise QueryError("group needs a column", "QueryExecutionError", "execution", "query", *op.pos)
     for n in names:

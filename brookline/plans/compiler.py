@@ -126,7 +126,8 @@ class Compiler:
                 out.append((f.name, names))
             else:
                 for n, (c, t) in child.columns.items():
-                    columns.append(F.col(f"r{k}{c}").alias(f"{f.name}.{n}" if f"{n}" in [x for x, _ in out] or flat is False else n))
+                    taken = [x for x, _ in out]
+                    columns.append(F.col(f"r{k}{c}").alias(f"{f.name}.{n}" if n in taken else n))
                     out.append((n, t))
             k += 1
         return Result(frame.df.select(*columns), out, tree)

@@ -11,12 +11,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import RUNTIME, QueryError
+from .errors import QueryError
 from .operators import advisor
 from .operators.inspection import inspected, runtime
 from .operators.mutations import Mutator
 from .plans.compiler import Compiler, Result
-from .plans.frames import Context, Variable
+from .plans.frames import Context, Frame, Variable
 from .plans.nodes import Expr, Let, ListOf, Literal, Name, ObjectOf, Pipeline
 from .plans.parser import parse_request
 from .plans.response import payload_text, response_text
@@ -178,8 +178,6 @@ class Session:
                 out.inserted, out.updated, out.deleted = out.inserted + change.inserted, out.updated + change.updated, out.deleted + change.deleted
                 model = self.catalog.model(s.model)
                 if last:
-                    from .plans.frames import Frame
-
                     frame = Frame(change.rows, {c.name: (c.name, c.type) for c in model.columns.values()})
                     out.result = compiler.project(frame, model, s.selection, flat) if s.selection.fields else Result(change.rows.select().limit(0), [])
                 return
@@ -203,8 +201,6 @@ class Session:
             head = frame.take(2)
             nulls = not frame.where(F.col(frame.columns[0]).isNull()).isEmpty()
             return Variable(frame, kind, head[0][0] if len(head) == 1 else None, len(head) == 1, nulls)
-        if isinstance(value, (ListOf, ObjectOf)):
-            return self._payload(value, compiler, context)
         return self._payload(value, compiler, context)
 
     def _payload(self, e: Expr, compiler: Compiler, context: Context):
@@ -220,8 +216,6 @@ class Session:
             if not isinstance(v, Variable):
                 return v
             return v.scalar if v.is_scalar else [r[0] for r in v.frame.collect()]
-        from .plans.frames import Frame
-
         one = Frame(self.spark.range(1), {})
         column, kind = compiler._value(one, e)
         value = one.df.select(F.unix_micros(column) if kind == "timestamp" else column).first()[0]
