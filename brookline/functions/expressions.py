@@ -242,8 +242,8 @@ def checked(v: Value) -> Column:
 
 
 def matches(v: Value, what: str, pos: tuple[int, int]) -> Column:
-    """A predicate: rows where it is null or fails don't match."""
+    """A predicate for a filter: rows where it is null or fails don't match. Kept plain, so that it reaches the scan."""
     if v.type not in ("bool", "null"):
         raise QueryError(f"{what} expression must evaluate to boolean", "QueryExecutionError")
-    kept = F.coalesce(v.column.cast("boolean"), F.lit(False))
+    kept = v.column if v.type == "bool" else F.lit(False)
     return kept if v.error is None else kept & v.error.isNull()

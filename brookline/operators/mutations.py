@@ -157,7 +157,7 @@ class Mutator:
         if where is None:
             return frame.df.withColumn(HIT, F.lit(True))
         flagged, scope = rows.with_members(frame, where.expr, self.compiler.context)
-        return flagged.df.withColumn(HIT, matches(compile_expression(where.expr, scope), "where", where.pos)).select(*model.columns, HIT)
+        return flagged.df.withColumn(HIT, F.coalesce(matches(compile_expression(where.expr, scope), "where", where.pos), F.lit(False))).select(*model.columns, HIT)
 
     def update(self, model: Model, op: Op, where: Op | None) -> Change:
         df = self._hits(model, where)

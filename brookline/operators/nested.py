@@ -24,7 +24,7 @@ def children(source: Frame, target_column: str, field: Field, context: Context)
     """
     frame = replace(source, df=source.df.withColumn(KEY, F.col(f"`{source.columns[target_column][0]}`")))
     ops, pending = field.ops, []  # pending: the order of the rows of a parent
-    ranked = False
+    ranked, skipped = False, 0
     if any(o.kind in ("sort", "limit", "offset") for o in ops) or field.nested is not None:
         frame = rows.ordered_source(frame)
     for k, op in enumerate(ops):
@@ -42,11 +42,13 @@ def children(source: Frame, target_column: str, field: Field, context: Context)
             if n is None:
                 continue
             if not ranked:
-                frame, ranked = replace(frame, df=frame.df.withColumn(RANK, _rank(frame, pending))), True
+                frame, ranked, skipped = replace(frame, df=frame.df.withColumn(RANK, _rank(frame, pending))), True, 0
+            # Plain bounds on the rank, so that the planner limits each parent before the shuffle.
             if op.kind == "limit":
-                frame = replace(frame, df=frame.df.where(F.col(RANK) <= n))
+                frame = replace(frame, df=frame.df.where(F.col(RANK) <= skipped + n))
             else:
-                frame = replace(frame, df=frame.df.where(F.col(RANK) > n).withColumn(RANK, F.col(RANK) - n))
+                skipped += n
+                frame = replace(frame, df=frame.df.where(F.col(RANK) > skipped))
         elif op.kind != "inspect":
             raise QueryError(f"{op.kind} can't stand in a nested selection", "QueryExecutionError", "execution", "query", *op.pos)
     if not ranked:
