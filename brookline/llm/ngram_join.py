@@ -15,8 +15,9 @@ The class of a token comes from a table of ``2 ** SKETCH_BITS`` counters, filled
 any rule that gives a token the same class everywhere leaves the join exact. Sending the frequent class is sending
 one bit a counter, so its size is fixed.
 
-Equal sets are one node. Each indexed key links its nodes to the key's least node (its pivot), so a key of m nodes
-gives m - 1 candidates, never m * m. Candidates are verified on whole sets. Nodes of one component need no more
+Equal sets are one node. Each indexed key refers its nodes to one of them, its pivot, and at first each node is checked against the pivot with which it shares most keys: no more candidates than nodes. A bit signature of half a
+byte a token gives an upper bound of the overlap, which rules out most false candidates; the others are verified on
+whole sets. Nodes of one component need no more
 checks. Of the keys that still hold several components, short ones have their pairs across components verified, long
 ones get other pivots, round by round, until no key has an unchecked pair across components.
 """
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, documents, hashed_words, mix, set_hash, shingles
@@ -51,27 +52,52 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """A bit for each token, in a power of two of bits that is at least four times the tokens."""
+    width = max(3, (4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(1 << width, bool)
+    bits[(tokens >> np.uint64(64 - width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common_tokens(x: bytes, y: bytes, m: int, n: int) -> int:
+    """An upper bound of the overlap of two sets of m and n tokens from their signatures."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) > len(q):
+        p, q, m, n = q, p, n, m
+    if len(p) < len(q):
+        q = np.packbits(np.unpackbits(q).reshape(8 * len(p), -1).any(1))
+    hidden = min(m - int(np.bitwise_count(p).sum()), n - int(np.bitwise_count(q).sum()))
+    return int(np.bitwise_count(p & q).sum()) + hidden
+
+
+NODES = "doc_id long, n long, node long, bits binary, block int, counts binary"
+
+
 def nodes_and_counts(n: int):
-    """mapInArrow: (doc_id, n, node) of each document, and the task's counters as rows (block, counts)."""
+    """mapInArrow: (doc_id, n, node, bits) of each document, and the task's counters as rows (block, counts)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
         for batch in rows:
-            ids, sizes, nodes, new = batch.column("doc_id"), [], [], []
+            ids, sizes, nodes, bits, new = batch.column("doc_id"), [], [], [], []
             for _, tokens in _sets(batch.column("text"), n):
                 sizes.append(len(tokens))
                 nodes.append(node := set_hash(tokens) if len(tokens) else None)
                 if len(tokens) and node not in seen:  # copies count once a task
                     seen.add(node)
                     new.append(_counter(tokens))
+                    bits.append(signature(tokens))
+                else:
+                    bits.append(None)
             if new:
                 counts += np.bincount(np.concatenate(new), minlength=1 << SKETCH_BITS).astype(np.int32)
             none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *none], ["doc_id", "n", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), *none], ["doc_id", "n", "node", "bits", "block", "counts"])
         if seen:
             blocks = counts.reshape(SKETCH_BLOCKS, -1)
             none = [pa.nulls(SKETCH_BLOCKS, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "n", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "n", "node", "bits", "block", "counts"])
 
     return run
 
@@ -82,7 +108,8 @@ def _add_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
             own = np.frombuffer(counts.as_buffer(), np.int32)
             total[block] = total[block] + own if block in total else own.astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
+    sums = [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.binary())], ["block", "counts"])
 
 
 def frequent_bits(counts: DataFrame) -> bytes:
@@ -90,8 +117,8 @@ def frequent_bits(counts: DataFrame) -> bytes:
     parts = max(1, min(SKETCH_BLOCKS, counts.sparkSession.sparkContext.defaultParallelism))
     summed = counts.repartition(parts, "block").mapInArrow(_add_counts, "block int, counts binary")
     total = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
-    for row in summed.toLocalIterator():
-        total[row.block] += np.frombuffer(row.counts, np.int64)
+    for row in summed.collect():
+        total[row.block] += np.frombuffer(row.counts, np.int32)
     total = total.reshape(-1)
     mean = total.mean()
     return np.packbits(total > mean + max(LEAST_FREQUENT, DEVIATIONS * np.sqrt(mean))).tobytes()
@@ -172,6 +199,20 @@ def token_sets(n: int):
     return run
 
 
+def may_link(percent: int):
+    """mapInArrow: those of the pairs (a, b, m, x, n, y) that their signatures don't rule out."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
+                most = min(m, n, most_common_tokens(x, y, m, n))
+                keep.append(100 * most >= percent * (m + n - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, both, either) for pairs with the sorted tokens of both nodes."""
     for batch in rows:
@@ -198,30 +239,46 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
         raise ValueError("percent must be 50 to 100")
     spark, texts = docs.sparkSession, documents(docs)
     scratch = Scratch(spark, "ngram-join")
-    first = scratch.table(texts.mapInArrow(nodes_and_counts(ngram), "doc_id long, n long, node long, block int, counts binary"), "nodes")
-    nodes = first.where("block is null").select("doc_id", "n", "node")
-    bits = frequent_bits(first.where("block is not null").select("block", "counts"))
-    least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    first = texts.mapInArrow(nodes_and_counts(ngram), NODES).withColumn("kind", F.when(F.col("block").isNull(), "nodes").otherwise("counts"))
+    path, read = scratch.write(first, "first", "kind"), spark.read.schema(NODES)
+    if spark.read.schema(f"{NODES}, kind string").parquet(path).isEmpty():
+        return texts.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("node"))
+    first = read.parquet(f"{path}/kind=nodes")
+    nodes = first.select("doc_id", "n", "node")
+    if scratch.empty(nodes.where("node is not null")):
+        return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
+    bits = frequent_bits(read.parquet(f"{path}/kind=counts").select("block", "counts"))
+    scratch.drop("first/kind=counts")
+    # Copies of one task have one signature among them; a node has at least one.
+    least = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("bits").alias("bits"))
+    least = scratch.table(least, "least")
 
     keys = texts.mapInArrow(index_keys(ngram, percent, bits), "key long, node long")
     keys = scratch.table(keys, "all-keys")
-    # A key of one node links nothing.
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other")
-    shared = scratch.table(keys.join(pivots.select("key", "pivot"), "key"), "keys")
+    # A key of one node links nothing. The pivot of a key is its node with most shared keys: of a group of copies, the
+    # one that has least of its own.
+    several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
+    shared = scratch.table(keys.join(several, "key").distinct(), "keys")
     scratch.drop("all-keys")
-
-    candidates = scratch.table(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs-0")
+    degrees = shared.groupBy("node").agg(F.count("*").alias("degree"))
+    pivots = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    paired = shared.join(pivots, "key")
+
+    # At first each node is checked against the pivot with which it shares most keys.
+    often = paired.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    best = often.groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
+    candidates = scratch.table(best.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs-0")
     links = _verified(scratch, texts, least, candidates, ngram, percent, "0")
     roots = components(scratch, links, "roots-0")
     checked = candidates
-    shared = shared.select("key", "node")
     for k in range(1, PIVOT_ROUNDS + 2):
         # Only keys whose nodes are in several components can still give a new connection.
         known = least.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         labelled = shared.join(known, "node")
         open_keys = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s").select("key", "m")
-        labelled = scratch.table(labelled.join(open_keys, "key").distinct(), f"open-{k}")
-        if labelled.isEmpty():
+        labelled = scratch.table(labelled.join(open_keys, "key"), f"open-{k}")
+        scratch.drop("keys" if k == 1 else f"open-{k - 1}")
+        if scratch.empty(labelled):
             break
         # A short key is done with at once: its pairs across components. A long one gets another pivot: the least by
         # a hash that changes with the round. The last round leaves nothing.
@@ -229,7 +286,8 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
         other = labelled.where(short).select("key", F.col("node").alias("pivot"), F.col("n").alias("own_n"), F.col("root").alias("own"))
         sized = f"100 * least(n, own_n) >= {percent} * greatest(n, own_n)"
         pairs = labelled.join(other, "key").where("root < own").where(sized).select("node", "pivot")
-        if k <= PIVOT_ROUNDS:
+        long_keys = k <= PIVOT_ROUNDS and not scratch.empty(labelled.where(~short))
+        if long_keys:
             order = F.xxhash64(F.lit(k), "node")
             pivot = labelled.where(~short).groupBy("key").agg(F.min(order).alias("h"))
             pivot = labelled.join(pivot, "key").where(order == F.col("h")).select("key", F.col("node").alias("pivot"), F.col("n").alias("own_n"), F.col("root").alias("own"))
@@ -237,13 +295,14 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         pairs = scratch.table(pairs.join(checked, ["a", "b"], "left_anti"), f"pairs-{k}")
         shared = labelled.where(~short).select("key", "node")
-        if pairs.isEmpty():
-            continue
-        found = _verified(scratch, texts, least, pairs, ngram, percent, str(k))
-        checked = checked.union(pairs)
-        if not found.isEmpty():
-            links = scratch.table(links.union(found), f"links-to-{k}")
-            roots = components(scratch, links, f"roots-{k}")
+        if not scratch.empty(pairs):
+            found = _verified(scratch, texts, least, pairs, ngram, percent, str(k))
+            checked = checked.union(pairs)
+            if not scratch.empty(found):
+                links = scratch.table(links.union(found), f"links-to-{k}")
+                roots = components(scratch, links, f"roots-{k}")
+        if not long_keys:
+            break
     # The least doc_id of each component, then of each document by its node.
     lowest = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = lowest.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -253,17 +312,18 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
 
 def _verified(scratch: Scratch, texts: DataFrame, least: DataFrame, pairs: DataFrame, ngram: int, percent: int, name: str) -> DataFrame:
     """Those of the node pairs (a, b) that link, as a table."""
-    sizes = least.select("node", "n")
-    pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
-    pairs = scratch.table(pairs.where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b"), f"sized-{name}")
+    known = least.select("node", "n", "bits")
+    pairs = pairs.join(known.toDF("a", "m", "x"), "a").join(known.toDF("b", "n", "y"), "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)")
+    pairs = scratch.table(pairs.mapInArrow(may_link(percent), "a long, b long"), f"likely-{name}")
+    if scratch.empty(pairs):
+        return pairs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = least.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(token_sets(ngram), "node long, tokens binary")
-    sets = scratch.table(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"sets-{name}")
+    ids = least.select("node", "least").join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
+    sets = scratch.table(texts.join(ids, "doc_id").mapInArrow(token_sets(ngram), "node long, tokens binary"), f"sets-{name}")
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     links = joined.mapInArrow(_compare, "a long, b long, both long, either long").where(f"100 * both >= {percent} * either")
     links = scratch.table(links.select("a", "b"), f"links-{name}")
-    scratch.drop(f"sets-{name}", f"sized-{name}")
+    scratch.drop(f"sets-{name}", f"likely-{name}")
     return links
 
 
@@ -272,5 +332,15 @@ def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
-#: Brute force in SQL is a self-join of documents on shingles; only for small tables.
-ORACLE = None
+def oracle_sql(ngram: int = 5, percent: int = 75) -> str:
+    """DuckDB SQL for the rows of the query: all pairs that share a shingle, for small tables."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    shingle = " || chr(10) || ".join(f"w[i + {k}]" for k in range(ngram))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, {shingle} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {ngram - 2})) AS i FROM d WHERE len(w) >= {ngram}) UNION ALL SELECT DISTINCT doc_id, array_to_string(w, chr(10)) FROM d WHERE len(w) BETWEEN 1 AND {ngram - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= {percent} * (m.n + o.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT x, b FROM reach JOIN e ON a = y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""

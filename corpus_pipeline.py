@@ -8,7 +8,6 @@ rows are judged alike; of equal ones the third stage keeps one. An empty table g
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookline.llm.common import Scratch
