@@ -80,3 +80,25 @@ def quality_rules(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float =
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of the query."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    lower = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+tri AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY 1),
+line AS (SELECT r, host, i, l, array_to_string(regexp_extract_all({lower}, {word}), ' ') AS h, len(regexp_extract_all(l, {word})) AS n FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(l, {word})),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM line GROUP BY 1),
+place AS (SELECT *, lag(h) OVER (PARTITION BY r ORDER BY i) AS before, lead(h) OVER (PARTITION BY r ORDER BY i) AS after FROM line),
+own AS (SELECT r, host, h, arg_min(coalesce(before, chr(10)), i) AS before, arg_min(coalesce(after, chr(10)), i) AS after, sum(n) AS n FROM place GROUP BY 1, 2, 3),
+b AS (SELECT host, h, sum(c) AS n, max(c) AS most FROM (SELECT host, h, before, count(*) AS c FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
+a AS (SELECT host, h, max(c) AS most FROM (SELECT host, h, after, count(*) AS c FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
+bad AS (SELECT host, h FROM b JOIN a USING (host, h) JOIN hosts USING (host) WHERE b.n > {LEAST_DOCUMENTS} AND b.n > {SHARE} * docs AND least(b.most, a.most) < {SAME_PLACE} * b.n),
+lost AS (SELECT r, sum(n)::bigint AS removed_words FROM own JOIN bad USING (host, h) GROUP BY 1),
+o AS (SELECT doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+ FROM d LEFT JOIN dup USING (r) LEFT JOIN again USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= {KEEP} * n_words AS kept FROM o"""

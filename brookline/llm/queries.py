@@ -17,4 +17,8 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.oracle_sql(),
+    "op5_quality_rules": quality_rules.oracle_sql(),
+    "op10_license_scan": licenses.oracle_sql(),
+}
