@@ -9,6 +9,7 @@ meanwhile are stale and dropped when their rank is applied.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .pretokens import WordCache, default_path, plain, slices
+from .pretokens import WordCache, default_path, latin_pattern, plain, slices
 
 
 def byte_letters() -> list[str]:
@@ -60,7 +61,7 @@ class PairIndexEncoder:
         self.keys = keys[self.rank_order]
         # The letters of a piece, as bytes of the text.
         self.to_byte = {c: b for b, c in enumerate(letters)}
-        self.pieces = _latin_pattern()
+        self.pieces = latin_pattern()
         self.cache = WordCache(self._words)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,23 +185,17 @@ class PairIndexEncoder:
         return " ".join([self.token[i] for i in ids])
 
 
-def _latin_pattern() -> re.Pattern:
-    """The file's splitting pattern for characters below U+0250, where Python's classes need not be trusted."""
-    import unicodedata
-
-    below = [chr(i) for i in range(0x250)] + ["̇"]  # the dot that lower-casing U+0130 leaves
-    kind = {c: unicodedata.category(c)[0] for c in below}
-    spaces = [*map(chr, range(0x09, 0x0E)), " ", "\x85", "\xa0"]
-    some = lambda cs: "".join(map(re.escape, cs))
-    letters, numbers = some([c for c in below if kind[c] == "L"]), some([c for c in below if kind[c] == "N"])
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{some(spaces)}{letters}{numbers}]+")
+@functools.lru_cache(1)
+def pair_encoder(path: str) -> PairIndexEncoder:
+    """The worker's encoder; its words stay known from task to task."""
+    return PairIndexEncoder(path)
 
 
 def encoded(path: str):
     """mapInArrow: (doc_id, n_tokens, ids, decoded) of whole texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PairIndexEncoder(path)
+        encoder = pair_encoder(path)
         for batch in rows:
             texts = batch.column("text").to_pylist()
             for start, end in slices(texts):

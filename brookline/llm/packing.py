@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
-from .pretokens import LibraryEncoder, default_path, slices
+from .pretokens import default_path, library_encoder, slices
 
 WINDOW, GROUP = 2048, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -81,7 +81,7 @@ def cut_pieces(path: str, end_id: int, window: int):
     """mapInArrow: the pieces (PIECES) of whole texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = LibraryEncoder(path), np.uint16(end_id).tobytes()
+        encoder, end = library_encoder(path), np.uint16(end_id).tobytes()
         for batch in rows:
             texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices(texts):

@@ -8,16 +8,21 @@ other texts go to the library whole.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+
 #: Set before the library loads: its threads would contend with Spark's tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 ODD = re.compile("[^\x00-\x1b\x20-ɏ]")
-#: Distinct words that a task keeps; beyond, it starts anew.
-MOST_WORDS = 400_000
+#: Distinct words that a worker keeps, over all its tasks; beyond, it starts anew.
+MOST_WORDS = 900_000
 
 
 def default_path() -> str:
@@ -40,13 +45,28 @@ class WordCache:
         """Learns all words of the texts."""
         if len(self.known) > MOST_WORDS:
             self.known = {}
-        known = self.known
-        new = list({w for words in texts for w in words if w not in known})
-        known.update(zip(new, self.encode_words(new), strict=True))
+        new = list(set().union(*texts).difference(self.known))
+        self.known.update(zip(new, self.encode_words(new), strict=True))
+
+
+def latin_pattern() -> re.Pattern:
+    """The vocabulary file's splitting pattern for characters below U+0250, where Python's own classes need no trust."""
+    below = [chr(i) for i in range(0x250)] + ["\u0307"]  # the dot that lower-casing U+0130 leaves
+    kind = {c: unicodedata.category(c)[0] for c in below}
+    spaces = [*map(chr, range(0x09, 0x0E)), " ", "\x85", "\xa0"]
+    some = lambda cs: "".join(map(re.escape, cs))
+    letters, numbers = some([c for c in below if kind[c] == "L"]), some([c for c in below if kind[c] == "N"])
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{some(spaces)}{letters}{numbers}]+")
 
 
 class LibraryEncoder:
-    """Ids of texts as little-endian unsigned 16-bit integers (the vocabulary has 49,408 ids)."""
+    """Ids of texts as little-endian unsigned 16-bit integers (the vocabulary has 49,408 ids).
+
+    New words go to the library as their distinct pieces, many to a call; the last id of each piece is one of those that
+    end a word, which tells the pieces' ids apart again.
+    """
+
+    PIECES = 400
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,23 +74,39 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        if self.library.get_vocab_size() > 65536:
+        size = self.library.get_vocab_size()
+        if size > 65536:
             raise ValueError("ids must fit 16 bits")
+        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
+        self.pieces = latin_pattern()
         self.cache = WordCache(self._words)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        from array import array
-
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [array("H", x.ids).tobytes() for x in found]
+        split = [self.pieces.findall(w) for w in words]
+        distinct = list(set().union(*split))
+        known = {}
+        for at in range(0, len(distinct), 64 * self.PIECES):
+            part = distinct[at : at + 64 * self.PIECES]
+            texts = [" ".join(part[k : k + self.PIECES]) for k in range(0, len(part), self.PIECES)]
+            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            known.update(zip(part, [data[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        return [known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         split = [x.lower().split() if plain(x) else None for x in texts]
         self.cache.add([x for x in split if x])
-        known = self.cache.known
-        return [array("H", self.library.encode(x, add_special_tokens=False).ids).tobytes() if words is None else b"".join([known[w] for w in words]) for x, words in zip(texts, split, strict=True)]
+        known = self.cache.known.__getitem__
+        return [np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() if words is None else b"".join(map(known, words)) for x, words in zip(texts, split, strict=True)]
+
+
+@functools.lru_cache(1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """The worker's encoder; its words stay known from task to task."""
+    return LibraryEncoder(path)
 
 
 def slices(texts: list[str], most: int = 4_000_000) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
-from .pretokens import LibraryEncoder, default_path, slices
+from .pretokens import default_path, library_encoder, slices
 
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens int, ids array<int>"
 #: ORC writer settings: index rows, Bloom filter column and false-positive rate, stripe bytes.
@@ -29,7 +29,7 @@ def token_rows(path: str, end_id: int | None):
     """mapInArrow: rows of FILE_SCHEMA of one range of documents, in the order in which they come."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = LibraryEncoder(path), 0
+        encoder, start = library_encoder(path), 0
         end = b"" if end_id is None else np.uint16(end_id).tobytes()
         for batch in rows:
             texts = batch.column("text").to_pylist()
