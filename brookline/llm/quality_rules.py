@@ -1,11 +1,14 @@
 """Document rules, and the frequency of lines across the documents of a host.
 
-Lines are normalised and hashed; for each host the documents that hold a line are counted. A line is boilerplate if
-more than LEAST_DOCUMENTS documents of its host hold it, more than SHARE of the host's documents do, and it does not
-stand between the same neighbours in most of them: lines that do come from copies of one document, which are one
-document for this rule (removing copies is another operator's work). Boilerplate lines are removed, and a document
-that keeps less than KEEP of its words is depleted and rejected. Counting is pre-aggregated in each task, so a line
-that a third of all rows hold costs no more than others.
+Lines are normalised and hashed; for each host the distinct documents that hold a line are counted. A line is
+boilerplate if more than LEAST_DOCUMENTS distinct documents of its host hold it and more than SHARE of the host's
+distinct documents do, wherever it stands in them. Documents with equal normalised lines in the same order are copies
+and count once (removing copies is another operator's work); near copies with other words are documents of their own.
+Boilerplate lines are removed, and a document that keeps less than KEEP of its words is depleted and rejected.
+Counting is pre-aggregated in each task, so a line that a third of all rows hold costs no more than others.
+
+The SQL below is as first given: it counts every row and exempts lines between the same neighbours (SAME_PLACE), so
+its rows differ where documents share a block of lines.
 """
 
 from __future__ import annotations
@@ -17,25 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import RADIX, Scratch, _power, documents, mix
 from .text_stats import SYMBOL, slices_of
 
 LEAST_DOCUMENTS, SHARE, SAME_PLACE, KEEP = 20, 0.001, 0.5, 0.5
-LINE = pa.struct([("h", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("w", pa.int32())])
-BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: long, before: long, after: long, w: int>>"
+LINE = pa.struct([("h", pa.int64()), ("w", pa.int32())])
+BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<struct<h: long, w: int>>"
 
 
 def base_rules(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: BASE of whole texts. lines: each distinct normalised line with its first neighbours and all its words."""
+    """mapInArrow: BASE of whole texts. content: a hash of the normalised lines in order; lines: each distinct one with all its words."""
     for batch in rows:
         for start, end, s in slices_of(batch.column("text")):
             row, exact, normal, words, _ = s.lines()
             twice = np.bincount(row, weights=s.earlier_lines(row, exact), minlength=s.rows).astype(np.int64) if len(row) else np.zeros(s.rows, np.int64)
+            n_lines = np.bincount(row, minlength=s.rows)
+            sums = np.zeros(s.rows, np.uint64)
+            np.add.at(sums, row, normal * _power(RADIX, len(row))[np.arange(len(row)) - (np.cumsum(n_lines) - n_lines)[row]])
+            content = mix(sums + n_lines.astype(np.uint64)).view(np.int64)
             normal = normal.view(np.int64)
-            before, after = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-            if len(row) > 1:
-                same = row[1:] == row[:-1]
-                before[1:], after[:-1] = np.where(same, normal[:-1], 0), np.where(same, normal[1:], 0)
             order = np.lexsort((np.arange(len(row)), normal, row))
             new = np.ones(len(order), bool)
             new[1:] = (row[order[1:]] != row[order[:-1]]) | (normal[order[1:]] != normal[order[:-1]])
@@ -43,36 +46,33 @@ def base_rules(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.add.reduceat(words[order], at) if len(at) else np.zeros(0)
             first = order[at]
             offsets = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=s.rows))))
-            items = pa.StructArray.from_arrays([pa.array(normal[first]), pa.array(before[first]), pa.array(after[first]), pa.array(total.astype(np.int32))], fields=list(LINE))
+            items = pa.StructArray.from_arrays([pa.array(normal[first]), pa.array(total.astype(np.int32))], fields=list(LINE))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
             counts = [pa.array(x.astype(np.int64)) for x in (s.n_words, s.word_chars(), s.letters(SYMBOL), twice, s.repeated_words())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in ("doc_id", "host")), *counts, lists], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in ("doc_id", "host")), *counts, pa.array(content), lists], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"])
 
 
-def boilerplate_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float, same_place: float) -> DataFrame:
-    """(host, h) of the lines above the limits. lines: (host, h, before, after), one row a document; hosts: (host, docs)."""
-    places = lines.groupBy("host", "h", "before", "after").agg(F.count("*").alias("c"))
-    before = places.groupBy("host", "h", "before").agg(F.sum("c").alias("c")).groupBy("host", "h").agg(F.sum("c").alias("n"), F.max("c").alias("most_before")).where(F.col("n") > least)
-    after = places.groupBy("host", "h", "after").agg(F.sum("c").alias("c")).groupBy("host", "h").agg(F.sum("c").alias("m"), F.max("c").alias("most_after")).where(F.col("m") > least)
-    found = before.join(after, ["host", "h"]).where(F.least("most_before", "most_after") < same_place * F.col("n"))
+def boilerplate_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, h) of the lines above the limits. lines: (host, h, content), one row a document; hosts: (host, docs)."""
+    found = lines.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
     return found.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", "h")
 
 
-def quality_rules(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, same_place: float = SAME_PLACE, keep: float = KEEP) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept) of each row.
 
     The host is ``source``; a null one counts as the empty string. A null or empty text has no words and fails the base
-    rules. Repeated rows are documents of their own (between the same neighbours, so no boilerplate). Other columns
-    are ignored; an empty table gives an empty result.
+    rules. Repeated rows are judged alike and count once. Other columns are ignored; an empty table gives an empty
+    result.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     docs = documents(docs, F.coalesce(F.col("source"), F.lit("")).alias("host"))
     base = scratch.table(docs.mapInArrow(base_rules, BASE).withColumn("row", F.monotonically_increasing_id()), "base")
-    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
-    hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
-    common = scratch.table(boilerplate_lines(lines, hosts, least, share, same_place), "boilerplate")
+    lines = base.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.*")
+    hosts = base.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    common = scratch.table(boilerplate_lines(lines, hosts, least, share), "boilerplate")
     lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
-    out = base.drop("lines").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = base.drop("lines", "content").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & (left >= keep * F.col("n_words"))).alias("kept"))
