@@ -17,20 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import RADIX, Scratch, _power, documents, mix
+from .common import RADIX, Scratch, _power, mix
 from .text_stats import SYMBOL, slices_of
 
 LEAST_DOCUMENTS, SHARE, SAME_PLACE, KEEP = 20, 0.001, 0.5, 0.5
 LINE = pa.struct([("h", pa.int64()), ("w", pa.int32())])
-BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<struct<h: long, w: int>>"
+BASE = "host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<struct<h: long, w: int>>"
 
 
 def base_rules(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: BASE of whole texts. content: a hash of the normalised lines in order; lines: each distinct one with all its words."""
+    """mapInArrow: the columns before ``text``, and BASE of whole texts. content: a hash of the normalised lines in order; lines: each distinct one with all its words."""
     for batch in rows:
+        first_columns = batch.schema.names[: batch.schema.names.index("text")]
         for start, end, s in slices_of(batch.column("text")):
             row, exact, normal, words, _ = s.lines()
             twice = np.bincount(row, weights=s.earlier_lines(row, exact), minlength=s.rows).astype(np.int64) if len(row) else np.zeros(s.rows, np.int64)
@@ -49,7 +52,29 @@ def base_rules(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = pa.StructArray.from_arrays([pa.array(normal[first]), pa.array(total.astype(np.int32))], fields=list(LINE))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
             counts = [pa.array(x.astype(np.int64)) for x in (s.n_words, s.word_chars(), s.letters(SYMBOL), twice, s.repeated_words())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in ("doc_id", "host")), *counts, pa.array(content), lists], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in [*first_columns, "host"]), *counts, pa.array(content), lists], [*first_columns, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"])
+
+
+def without_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: ``text`` without the lines whose hashes stand in ``gone``; the other columns as they are."""
+    for batch in rows:
+        column, gone = batch.column("text"), batch.column("gone")
+        at = np.flatnonzero((gone.is_valid().to_numpy(zero_copy_only=False)) & (np.asarray(pc.fill_null(pc.list_value_length(gone), 0)) > 0))
+        new = {}
+        texts = column.take(pa.array(at))
+        for start, end, s in slices_of(texts):
+            row, _, normal, _, _ = s.lines()
+            normal, bounds = normal.view(np.int64), np.searchsorted(row, np.arange(s.rows + 1))
+            for k in range(start, end):
+                hashes, drop = iter(normal[bounds[k - start] : bounds[k - start + 1]].tolist()), set(gone[int(at[k])].as_py())
+                lines = texts[k].as_py().encode().split(b"\n")
+                new[int(at[k])] = b"\n".join(x for x in lines if not (x.strip() and next(hashes) in drop)).decode()
+        if new:
+            mask = np.zeros(len(column), bool)
+            mask[at] = True
+            column = pc.replace_with_mask(column, pa.array(mask), pa.array([new[k] for k in at.tolist()], column.type))
+        names = [n for n in batch.schema.names if n != "gone"]
+        yield pa.RecordBatch.from_arrays([column if n == "text" else batch.column(n) for n in names], names)
 
 
 def boilerplate_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
@@ -58,24 +83,41 @@ def boilerplate_lines(lines: DataFrame, hosts: DataFrame, least: int, share: flo
     return found.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", "h")
 
 
-def quality_rules(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept) of each row.
-
-    The host is ``source``; a null one counts as the empty string. A null or empty text has no words and fails the base
-    rules. Repeated rows are judged alike and count once. Other columns are ignored; an empty table gives an empty
-    result.
-    """
+def judged(docs: DataFrame, column: str, least: int, share: float, keep: float) -> DataFrame:
+    """``column`` and the figures of each row; gone: the hashes of its boilerplate lines, null if there are none."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    docs = documents(docs, F.coalesce(F.col("source"), F.lit("")).alias("host"))
-    base = scratch.table(docs.mapInArrow(base_rules, BASE).withColumn("row", F.monotonically_increasing_id()), "base")
+    docs = docs.select(column, F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("source"), F.lit("")).alias("host"))
+    schema = T.StructType([docs.schema[column], *T._parse_datatype_string(BASE).fields])
+    base = scratch.table(docs.mapInArrow(base_rules, schema).withColumn("row", F.monotonically_increasing_id()), "base")
     lines = base.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.*")
     hosts = base.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common = scratch.table(boilerplate_lines(lines, hosts, least, share), "boilerplate")
-    lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
+    lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("gone"))
     out = base.drop("lines", "content").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & (left >= keep * F.col("n_words"))).alias("kept"))
+    return out.select(column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & (left >= keep * F.col("n_words"))).alias("kept"), "gone")
+
+
+def quality_rules(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept) of each row.
+
+    The host is ``source``; a null one counts as the empty string. A null or empty text has no words and fails the base
+    rules. Repeated rows are judged alike and count once. Other columns are ignored; an empty table gives an empty
+    result.
+    """
+    return judged(docs, "doc_id", least, share, keep).drop("gone")
+
+
+def cleaned(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """The kept rows with all their columns, boilerplate lines removed from ``text``, and removed_words.
+
+    The verdict is each row's own, so null and repeated doc_ids are judged by their texts. Lines go with their line
+    ends; the text is otherwise as it was.
+    """
+    kept = judged(docs.select(F.struct("*").alias("doc"), "source", "text"), "doc", least, share, keep).where("kept")
+    rows = kept.select("doc.*", "removed_words", "gone")
+    return rows.mapInArrow(without_lines, T.StructType([*docs.schema.fields, T.StructField("removed_words", T.LongType())]))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

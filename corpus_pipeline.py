@@ -8,13 +8,14 @@ rows are judged alike; of equal ones the third stage keeps one. An empty table g
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookline.llm.common import Scratch
 from brookline.llm.ngram_join import ngram_jaccard_join
 from brookline.llm.packing import pack_documents
 from brookline.llm.quality_model import scores, train
-from brookline.llm.quality_rules import quality_rules
+from brookline.llm.quality_rules import cleaned
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,9 +29,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base rules and aren't depleted."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Keeps rows that pass the base rules and aren't depleted, without their boilerplate lines; n_chars follows."""
+    n_chars = F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return cleaned(docs.select(*COLUMNS)).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
