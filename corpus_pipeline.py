@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; all but the last
 return the columns of documents. Nulls: a null text counts as an empty one, which the quality rules reject. Repeated
-rows are judged alike; of equal ones the third stage keeps one. An empty table goes through as an empty table.
+rows are judged alike; of equal ones the third stage keeps one. Stages two and three judge rows, not doc_ids: rows with a
+null or repeated doc_id stay or go by their own texts. An empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -35,9 +36,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that links connect."""
-    kept = ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group that links connect: the one of least doc_id, null ones last, ties by position."""
+    rows = Scratch(spark, "near-duplicates").table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(order).alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
