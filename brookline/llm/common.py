@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,33 +13,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shuffle files of a finished SQL execution go at once instead of waiting for the driver's garbage collector.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of a finished SQL execution go at once instead of waiting for the driver's
+#: garbage collector, and what goes to a Python worker at once is bounded in bytes, whatever a row holds.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
     """Intermediate tables of one operator run, below ``spark.checkpoint.dir``.
 
     A written table cuts lineage and survives lost executors, since the folder is shared by the whole cluster.
-    The setting is read from the session; only where it is unset (tests) a temporary folder is used.
+    The setting is read from the session; only where it is unset and the master is local (tests) a temporary folder is used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="scratch-")
+            base = spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> str:
         """Writes a table; ``by`` names a column whose values get a folder each."""
         path = f"{self.path}/{name}"
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with writing(self.spark):
             df.write.option("compression", "zstd").parquet(path, partitionBy=by)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -46,12 +61,8 @@ class Scratch:
 
     def empty(self, df: DataFrame) -> bool:
         """Whether a frame has no row."""
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with writing(self.spark):
             return df.isEmpty()
-        finally:
-            self.spark.conf.set(CLEANUP, before)
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -151,12 +162,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((sums[ends] - sums[starts]) * _power(RADIX_INVERSE, len(data))[starts])
 
 
-def hashed_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, word offsets of the rows) of small slices of a string column."""
+def _long_text(data: np.ndarray, most: int) -> np.ndarray:
+    """The word hashes of one long text, hashed in parts of about ``most`` bytes that end at white space."""
+    found, start = [], 0
+    while start < len(data):
+        end = min(start + most, len(data))
+        while end < len(data) and not SPACE[data[end]]:
+            spaces = np.flatnonzero(SPACE[data[end : end + most]])
+            end = end + int(spaces[0]) if len(spaces) else min(end + most, len(data))
+        part = data[start:end]
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        found.append(word_hashes(part, starts, ends))
+        start = end
+    return np.concatenate(found)
+
+
+def hashed_words(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, word offsets of the rows) of small slices of a string column.
+
+    Work memory is about 40 bytes a byte of a slice, and a longer text takes 8 bytes a word beside that of one slice.
+    """
     data, offsets = string_bytes(column)
-    for start, end in pieces(offsets):
+    for start, end in pieces(offsets, most):
         own = offsets[start : end + 1] - offsets[start]
         part = data[offsets[start] : offsets[end]]
+        if len(part) > most:
+            words = _long_text(part, most)
+            yield start, end, words, np.array([0, len(words)])
+            continue
         starts, ends, words = word_spans(part, own)
         yield start, end, word_hashes(part, starts, ends), words
 

@@ -1,25 +1,31 @@
 """Jaccard self-join of documents on word shingles, by prefixes of token combinations.
 
-A document's tokens are the 64-bit hashes of its distinct word shingles. They are ordered by class (rare, then
-frequent) and by hash. A document of n tokens may miss at most d = n - ceil(t * n) tokens of a partner, so among the
-tokens of its prefix at least one rare token is shared, or two frequent ones of one block:
-
-* the rare class is indexed by single tokens: the first d + 1 rare tokens;
-* if a document has only r <= d rare tokens, its prefix is extended into the frequent class, which is cut into
+A document's tokens are the 64-bit hashes of its distinct word shingles; equal sets are one node. Tokens are ordered by
+class (lone, rare, frequent: held by one node, by up to RARE, by more) and by hash. A set of n tokens may miss at most
+d = n - ceil(t * n) tokens of a partner. Lone tokens are missed by every partner, so
+
+* a node whose shared tokens are fewer than t * n has no partner and goes at once, which few nodes survive where most
+  shingles stand in one text only;
+* the rare class is indexed by single tokens: of the first d + 1 lone and rare tokens the rare ones;
+* if a node has only r <= d lone and rare tokens, its prefix is extended into the frequent class, which is cut into
   blocks of the hash space. The prefix grows until its blocks hold d + 1 - r tokens beyond the first of each block;
   by the pigeonhole principle a partner then shares a pair of tokens of one block, and all such pairs are indexed.
-  The number of blocks depends on the size level of the smaller partner, so a document indexes its pairs for its own
+  The number of blocks depends on the size level of the smaller partner, so a node indexes its pairs for its own
   level and for that of the smallest partner that it may have: about as many pairs as tokens, whatever its length.
 
-The class of a token comes from a table of ``2 ** SKETCH_BITS`` counters, filled from all shingles of all documents:
-any rule that gives a token the same class everywhere leaves the join exact. Sending the frequent class is sending
-one bit a counter, so its size is fixed.
-
-Equal sets are one node. Each indexed key refers its nodes to one of them, its pivot, and at first each node is checked against the pivot with which it shares most keys: no more candidates than nodes. A bit signature of half a
-byte a token gives an upper bound of the overlap, which rules out most false candidates; the others are verified on
-whole sets. Nodes of one component need no more
-checks. Of the keys that still hold several components, short ones have their pairs across components verified, long
-ones get other pivots, round by round, until no key has an unchecked pair across components.
+Classes are counted exactly. A chunk of documents sends each of its distinct tokens once to the token's part of the hash
+space, packed many to a row, with the number of its nodes that hold it; the part adds up and answers with the tokens
+that several nodes hold. So a token of a third of all documents costs one entry a chunk. Any rule that gives a token
+one class everywhere leaves the join exact: copies in other chunks may make a lone token a rare one, no more.
+
+Each indexed key refers its nodes to one of them, its pivot, and at first each node is checked against the pivot with
+which it shares most keys: no more candidates than nodes. The sizes and the numbers of lone tokens of two nodes bound
+their overlap, bit signatures of two bytes a token do so more closely; what is left is verified on all shared tokens.
+Nodes of one component need no more checks. Keys that still hold several components get other pivots for some rounds;
+of those left then, the members outside a key's largest component are compared to its other members, packed into
+blocks, so that no key is one task and only pairs that signatures don't rule out become rows. Near copies by the million
+that don't link with each other although they share keys cost a comparison of signatures for each pair of them: lossless
+pruning by sizes, lone tokens and components is all that helps there.
 """
 
 from __future__ import annotations
@@ -28,203 +34,293 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, documents, hashed_words, mix, set_hash, shingles
 
-SKETCH_BITS = 22
-SKETCH_BLOCKS = 64
-#: A counter is frequent if it has this many documents, and so many standard deviations, above the mean counter.
-LEAST_FREQUENT, DEVIATIONS = 32, 8.0
-#: A key of so many nodes is checked pair by pair after the first pivot; longer keys have this many more rounds of
-#: pivots before the rest of their pairs across components is checked.
-SHORT, PIVOT_ROUNDS = 64, 3
+#: Tokens of a chunk, and tokens sent to a part of the hash space, about; documents of a chunk at most.
+CHUNK, PART, MOST_DOCUMENTS = 1_000_000, 1_500_000, 60_000
+#: A token of more nodes is frequent.
+RARE = 32
+#: Rounds of further pivots before what is left is compared across components, and the nodes of a block there.
+PIVOT_ROUNDS, BLOCK = 2, 512
+#: Bits of a signature for each token, at least.
+SPARSE = 16
+#: The holder of a token that several nodes of a chunk hold.
+SEVERAL = 0xFFFF
+
+PACKED = "kind string, part long, chunk long, ids array<long>, sizes array<long>, nodes array<long>, tokens binary, holders binary, counts binary"
+NAMES = [x.split()[0] for x in PACKED.split(", ")]
+TYPES = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+
+
+def packed(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(NAMES, TYPES, strict=True)], NAMES)
+
+
+def chunk_of(chunk: int, parts: int, ids: list, sizes: list[int], nodes: list[int | None], sets: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
+    """The rows of one chunk. docs: its documents; own: its nodes and the tokens that several of them hold; sent: each distinct token."""
+    out = [{"kind": "docs", "part": -1 - chunk, "chunk": chunk, "ids": ids, "sizes": sizes, "nodes": nodes}]
+    if sets:
+        lengths = np.array([len(x) for x in sets], np.int64)
+        tokens, holder = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+        order = np.argsort(tokens, kind="stable")
+        tokens, holder = tokens[order], holder[order]
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        counts = np.diff(np.append(first, len(tokens)))
+        several = np.repeat(counts > 1, counts)
+        out.append({"kind": "own", "part": -1 - chunk, "chunk": chunk, "sizes": lengths.tolist(), "nodes": own, "tokens": tokens[several].tobytes(), "holders": holder[several].tobytes()})
+        holder = np.where(counts > 1, SEVERAL, holder[first]).astype(np.uint16)
+        tokens, counts = tokens[first], counts.astype(np.uint16)
+        part = part_of(tokens, parts)
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        out += [{"kind": "sent", "part": int(part[a]), "chunk": chunk, "tokens": tokens[a:b].tobytes(), "holders": holder[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return packed(out)
+
+
+def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash space, ascending with the token."""
+    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def chunks(n: int, parts: int):
+    """mapInArrow: documents (doc_id, text) -> PACKED, chunk by chunk; copies of a set are one node of a chunk."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        chunk = TaskContext.get().partitionId() << 32
+        ids, sizes, nodes, sets, own, size, known = [], [], [], [], [], 0, set()
+        for batch in rows:
+            batch_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            for start, _, words, offsets in hashed_words(batch.column("text")):
+                for k, tokens in enumerate(shingles(words, offsets, n)):
+                    node = set_hash(tokens) if len(tokens) else None
+                    ids.append(batch_ids[start + k])
+                    sizes.append(len(tokens))
+                    nodes.append(node)
+                    if node is not None and node not in known:
+                        known.add(node)
+                        own.append(node)
+                        sets.append(tokens)
+                        size += len(tokens)
+                    if size >= CHUNK or len(ids) >= MOST_DOCUMENTS:
+                        yield chunk_of(chunk, parts, ids, sizes, nodes, sets, own)
+                        ids, sizes, nodes, sets, own, size, known = [], [], [], [], [], 0, set()
+                        chunk += 1
+        if ids:
+            yield chunk_of(chunk, parts, ids, sizes, nodes, sets, own)
 
-def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    for start, _, words, offsets in hashed_words(column):
-        for k, tokens in enumerate(shingles(words, offsets, n)):
-            yield start + k, tokens
+    return run
 
 
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def add_up(table: pa.Table) -> pa.Table:
+    """Of the tokens sent to a part: those that several nodes hold, for each chunk that holds them. Other rows pass."""
+    if table.column("kind")[0].as_py() != "sent":
+        return table
+    sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")]).astype(np.int64)
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in sent])))
+    tokens = np.concatenate(sent)
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    total = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(ordered))))
+    held = np.empty(len(tokens), np.int64)
+    held[order] = total
+    out = []
+    for k, (chunk, holders) in enumerate(zip(table.column("chunk").to_pylist(), table.column("holders"), strict=True)):
+        own = held[cuts[k] : cuts[k + 1]]
+        keep = own > 1
+        if keep.any():
+            out.append({"kind": "shared", "chunk": chunk, "tokens": sent[k][keep].tobytes(), "holders": np.frombuffer(holders.as_buffer(), np.uint16)[keep].tobytes(), "counts": np.minimum(own[keep], 0xFFFF).astype(np.uint16).tobytes()})
+    return pa.Table.from_batches([packed(out)])
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of bits that is at least four times the tokens."""
-    width = max(3, (4 * len(tokens) - 1).bit_length())
-    bits = np.zeros(1 << width, bool)
-    bits[(tokens >> np.uint64(64 - width)).astype(np.int64)] = True
+    """A bit for each token, in a power of two of bits that is at least SPARSE times the tokens, and 64."""
+    width = 1 << max(6, (SPARSE * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures, a row each, in fewer words: a bit is set if one of those that it stands for is."""
+    while bits.shape[1] > words:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def most_common_tokens(x: bytes, y: bytes, m: int, n: int) -> int:
     """An upper bound of the overlap of two sets of m and n tokens from their signatures."""
-    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(p) > len(q):
-        p, q, m, n = q, p, n, m
-    if len(p) < len(q):
-        q = np.packbits(np.unpackbits(q).reshape(8 * len(p), -1).any(1))
+    words = min(len(x), len(y)) // 8
+    p, q = (folded(np.frombuffer(z, np.uint64)[None], words) for z in (x, y))
     hidden = min(m - int(np.bitwise_count(p).sum()), n - int(np.bitwise_count(q).sum()))
     return int(np.bitwise_count(p & q).sum()) + hidden
 
 
-NODES = "doc_id long, n long, node long, bits binary, block int, counts binary"
-
-
-def nodes_and_counts(n: int):
-    """mapInArrow: (doc_id, n, node, bits) of each document, and the task's counters as rows (block, counts)."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
-        for batch in rows:
-            ids, sizes, nodes, bits, new = batch.column("doc_id"), [], [], [], []
-            for _, tokens in _sets(batch.column("text"), n):
-                sizes.append(len(tokens))
-                nodes.append(node := set_hash(tokens) if len(tokens) else None)
-                if len(tokens) and node not in seen:  # copies count once a task
-                    seen.add(node)
-                    new.append(_counter(tokens))
-                    bits.append(signature(tokens))
-                else:
-                    bits.append(None)
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=1 << SKETCH_BITS).astype(np.int32)
-            none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), *none], ["doc_id", "n", "node", "bits", "block", "counts"])
-        if seen:
-            blocks = counts.reshape(SKETCH_BLOCKS, -1)
-            none = [pa.nulls(SKETCH_BLOCKS, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["doc_id", "n", "node", "bits", "block", "counts"])
-
-    return run
-
-
-def _add_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in rows:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            own = np.frombuffer(counts.as_buffer(), np.int32)
-            total[block] = total[block] + own if block in total else own.astype(np.int64)
-    sums = [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.binary())], ["block", "counts"])
-
-
-def frequent_bits(counts: DataFrame) -> bytes:
-    """One bit a counter, packed: the frequent ones. The driver gets the 2 ** SKETCH_BITS sums, a fixed size."""
-    parts = max(1, min(SKETCH_BLOCKS, counts.sparkSession.sparkContext.defaultParallelism))
-    summed = counts.repartition(parts, "block").mapInArrow(_add_counts, "block int, counts binary")
-    total = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
-    for row in summed.collect():
-        total[row.block] += np.frombuffer(row.counts, np.int32)
-    total = total.reshape(-1)
-    mean = total.mean()
-    return np.packbits(total > mean + max(LEAST_FREQUENT, DEVIATIONS * np.sqrt(mean))).tobytes()
-
-
 def smallest(n: int, percent: int) -> int:
     """The least overlap, and the least size of a partner, of a set of n tokens."""
     return -(-percent * n // 100)
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one set. tokens: sorted; frequent: a flag for each. A set of one token has none: it has only
-    equal partners, which are the same node."""
-    n = len(tokens)
-    if n < 2:
-        return np.zeros(0, np.uint64)
-    need = n - smallest(n, percent) + 1
-    rare = tokens[~frequent][:need]
+def only_equal(n: int, percent: int) -> bool:
+    """Whether a set of n tokens has no partners but equal ones: one more token is too many."""
+    return 100 * n < percent * (n + 1)
+
+
+def keys_of(rare: np.ndarray, frequent: np.ndarray, n: int, lone: int, percent: int) -> np.ndarray:
+    """The index keys of a set of n tokens: lone ones, rare and frequent ones (each in ascending order)."""
+    need = n - smallest(n, percent) + 1 - lone
+    rare = rare[: max(0, need)]
     out = [mix(rare)]
     if (need := need - len(rare)) > 0:
-        rest = tokens[frequent]
-        for level in sorted({n.bit_length() - 1, max(2, smallest(n, percent)).bit_length() - 1}):
-            blocks = rest >> np.uint64(64 - max(0, level - 2)) if level > 2 else np.zeros(len(rest), np.uint64)
-            same = np.zeros(len(rest), np.int64)
+        for level in sorted({n.bit_length() - 1, max(1, smallest(n, percent)).bit_length() - 1}):
+            blocks = frequent >> np.uint64(64 - max(0, level - 2)) if level > 2 else np.zeros(len(frequent), np.uint64)
+            same = np.zeros(len(frequent), np.int64)
             same[1:] = blocks[1:] == blocks[:-1]
             at = int(np.searchsorted(np.cumsum(same), need)) + 1
-            prefix, blocks = rest[:at], blocks[:at]
-            ends = np.flatnonzero(np.concatenate((blocks[1:] != blocks[:-1], [True]))) + 1
+            if at > len(frequent):  # a small set, of which a partner may share no pair
+                out.append(mix(frequent))
+            prefix, blocks = frequent[:at], blocks[:at]
+            ends = np.flatnonzero(np.concatenate((blocks[1:] != blocks[:-1], [True]))) + 1 if len(prefix) else np.zeros(0, np.int64)
             first = 0
             for end in ends.tolist():
                 i, j = np.triu_indices(end - first, 1)
                 own = prefix[first:end]
                 out.append(mix(own[i] * np.uint64(3) + mix(own[j] + np.uint64(level))))
                 first = end
-    return np.concatenate(out)
+    return np.unique(np.concatenate(out))
 
 
-def index_keys(n: int, percent: int, bits: bytes):
-    """mapInArrow: (key, node) for each node of a task, copies once a task."""
+SETS = "node long, n long, lone long, rare long, tokens binary, bits binary"
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        frequent = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for batch in rows:
-            keys, nodes, held = [], [], 0
-            for _, tokens in _sets(batch.column("text"), n):
-                if not len(tokens) or (node := set_hash(tokens)) in seen:
-                    continue
-                seen.add(node)
-                own = keys_of(tokens, frequent[_counter(tokens)], percent)
-                keys.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
-                held += len(own)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
-                    keys, nodes, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+def sets_of(percent: int):
+    """Grouped map: a chunk's own and shared rows -> SETS, the nodes of it that may have a partner.
+
+    tokens: the shared ones, rare ones first, both kinds in ascending order; bits: their signature.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.equal(table.column("kind"), "own"))
+        shared = table.filter(pc.equal(table.column("kind"), "shared"))
+        read = lambda t, c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]])
+        sizes, nodes = np.array(own.column("sizes")[0].as_py(), np.int64), own.column("nodes")[0].as_py()
+        tokens, holders, counts = read(shared, "tokens", np.uint64), read(shared, "holders", np.uint16), read(shared, "counts", np.uint16)
+        # Tokens of several nodes of the chunk: for each of these nodes.
+        several = holders == SEVERAL
+        order = np.argsort(tokens[several], kind="stable")
+        known, their = tokens[several][order], counts[several][order]
+        more, holding = read(own, "tokens", np.uint64), read(own, "holders", np.uint16)
+        at = np.searchsorted(known, more)
+        tokens, holders, counts = np.concatenate((tokens[~several], more)), np.concatenate((holders[~several], holding)), np.concatenate((counts[~several], their[at]))
+        order = np.lexsort((tokens, counts > RARE, holders))
+        tokens, holders, rare = tokens[order], holders[order].astype(np.int64), counts[order] <= RARE
+        held = np.bincount(holders, minlength=len(sizes))
+        few = np.bincount(holders[rare], minlength=len(sizes))
+        ends = np.cumsum(held)
+        chosen = [k for k in np.flatnonzero((100 * held >= percent * sizes) & (held > 0)).tolist() if not only_equal(int(sizes[k]), percent)]
+        each = [tokens[ends[k] - held[k] : ends[k]] for k in chosen]
+        return pa.table([
+            pa.array([nodes[k] for k in chosen], pa.int64()), pa.array(sizes[chosen], pa.int64()), pa.array((sizes - held)[chosen], pa.int64()), pa.array(few[chosen], pa.int64()),
+            pa.array([x.tobytes() for x in each], pa.binary()), pa.array([signature(x) for x in each], pa.binary()),
+        ], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
 
-def token_sets(n: int):
-    """mapInArrow: (node, tokens) with the sorted token hashes as bytes."""
+def index_keys(percent: int):
+    """mapInArrow: (key, node, n, lone) of SETS without bits."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            nodes, sets = [], []
-            for _, tokens in _sets(batch.column("text"), n):
-                nodes.append(set_hash(tokens))
-                sets.append(tokens.tobytes())
-                if len(nodes) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
-                    nodes, sets = [], []
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+            found = []
+            for tokens, n, lone, rare in zip(batch.column("tokens"), *(batch.column(c).to_pylist() for c in ("n", "lone", "rare")), strict=True):
+                own = np.frombuffer(tokens.as_buffer(), np.uint64)
+                found.append(keys_of(own[:rare], own[rare:], n, lone, percent))
+            times = np.array([len(x) for x in found], np.int64)
+            for a in range(0, len(found), 500):
+                part = slice(a, a + 500)
+                rest = [pa.array(np.repeat(batch.column(c).to_numpy()[part], times[part])) for c in ("node", "n", "lone")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found[part]).view(np.int64)), *rest], ["key", "node", "n", "lone"])
 
     return run
 
 
 def may_link(percent: int):
-    """mapInArrow: those of the pairs (a, b, m, x, n, y) that their signatures don't rule out."""
+    """mapInArrow: those of the pairs (a, b) that their signatures (x, y), sizes (m, n) and lone tokens (p, q) don't rule out."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = []
-            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
-                most = min(m, n, most_common_tokens(x, y, m, n))
+            for x, y, m, n, p, q in zip(*(batch.column(c) for c in ("x", "y")), *(batch.column(c).to_pylist() for c in ("m", "n", "p", "q")), strict=True):
+                most = min(m - p, n - q, most_common_tokens(x.as_buffer(), y.as_buffer(), m - p, n - q))
                 keep.append(100 * most >= percent * (m + n - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, both, either) for pairs with the sorted tokens of both nodes."""
-    for batch in rows:
-        both, either = [], []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            common = int((q[at] == p).sum()) if len(q) else 0
-            both.append(common)
-            either.append(len(p) + len(q) - common)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
+def block_pairs(percent: int):
+    """mapInArrow: the pairs (a, b) of nodes of two blocks (x, y) that are in different components and may link."""
+
+    def by_width(block: pa.StructScalar) -> Iterator[tuple]:
+        """(node, n, shared tokens, root, bits as a matrix of 64-bit words) of the members with signatures of one width."""
+        rows = block.values
+        node, n, lone, root = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "lone", "root"))
+        bits = [x.as_buffer() for x in rows.field("bits")]
+        width = np.array([x.size for x in bits])
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            yield node[own], n[own], (n - lone)[own], root[own], np.frombuffer(b"".join(bits[k] for k in own.tolist()), np.uint64).reshape(len(own), -1)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found_a, found_b = [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                for node, n, held, root, bits in by_width(x):
+                    for node2, n2, held2, root2, bits2 in by_width(y):
+                        words = min(bits.shape[1], bits2.shape[1])
+                        p, q = folded(bits, words), folded(bits2, words)
+                        hidden, hidden2 = held - np.bitwise_count(p).sum(1), held2 - np.bitwise_count(q).sum(1)
+                        step = max(1, 500_000 // (len(node) * words))
+                        for k in range(0, len(node2), step):
+                            own = slice(k, k + step)
+                            most = np.bitwise_count(p[None] & q[own, None]).sum(2, dtype=np.int64) + np.minimum(hidden[None], hidden2[own, None])
+                            most = np.minimum(most, np.minimum(held[None], held2[own, None]))
+                            j, i = np.nonzero((100 * most >= percent * (n[None] + n2[own, None] - most)) & (root[None] != root2[own, None]))
+                            found_a.append(np.maximum(node[i], node2[own][j]))
+                            found_b.append(np.minimum(node[i], node2[own][j]))
+            if found_a:
+                both = np.unique(np.column_stack((np.concatenate(found_a), np.concatenate(found_b))), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def do_link(percent: int):
+    """mapInArrow: those of the pairs (a, b) that link, from their shared tokens (x, y) and sizes (m, n)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            for x, y, m, n in zip(batch.column("x"), batch.column("y"), *(batch.column(c).to_pylist() for c in ("m", "n")), strict=True):
+                own = np.sort(np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))))
+                both = int((own[1:] == own[:-1]).sum())
+                keep.append(100 * both >= percent * (m + n - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def bound(percent: int, m: str, p: str, n: str, q: str) -> str:
+    """SQL: sets of m and n tokens, p and q of them lone, may link."""
+    most = f"least({m} - {p}, {n} - {q})"
+    return f"100 * {most} >= {percent} * ({m} + {n} - {most})"
 
 
 def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> DataFrame:
@@ -232,98 +328,102 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
 
     component_id is the least doc_id that links reach. A null or empty text, or one of white space, has no shingles
     and links with nothing; a text of fewer than ``ngram`` words is one shingle of all its words. Equal sets link.
-    Repeated rows (the same doc_id again) come out as often as they came in. Other columns are ignored. An empty
-    table gives an empty result. ``percent`` is 50 to 100. Node identities are 64-bit hashes of sets of 64-bit hashes.
+    Repeated rows (the same doc_id again) come out as often as they came in; rows with a null doc_id link as others do
+    and take the least doc_id of their component, null if it has none. Other columns are ignored. An empty table gives
+    an empty result. ``percent`` is 50 to 100. Node identities are 64-bit hashes of sets of 64-bit hashes. One text is
+    handled whole: about 100 bytes a word.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     spark, texts = docs.sparkSession, documents(docs)
     scratch = Scratch(spark, "ngram-join")
-    first = texts.mapInArrow(nodes_and_counts(ngram), NODES).withColumn("kind", F.when(F.col("block").isNull(), "nodes").otherwise("counts"))
-    path, read = scratch.write(first, "first", "kind"), spark.read.schema(NODES)
-    if spark.read.schema(f"{NODES}, kind string").parquet(path).isEmpty():
-        return texts.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("node"))
-    first = read.parquet(f"{path}/kind=nodes")
-    nodes = first.select("doc_id", "n", "node")
-    if scratch.empty(nodes.where("node is not null")):
-        return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
-    bits = frequent_bits(read.parquet(f"{path}/kind=counts").select("block", "counts"))
-    scratch.drop("first/kind=counts")
-    # Copies of one task have one signature among them; a node has at least one.
-    least = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("bits").alias("bits"))
-    least = scratch.table(least, "least")
-
-    keys = texts.mapInArrow(index_keys(ngram, percent, bits), "key long, node long")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, size // 6 // PART)  # words of some six bytes
+    first = texts.mapInArrow(chunks(ngram, parts), PACKED).groupBy("part").applyInArrow(add_up, PACKED)
+    first = scratch.table(first, "first")
+    rows = first.where("kind = 'docs'").select(F.explode(F.arrays_zip("ids", "sizes", "nodes")).alias("d"))
+    nodes = rows.select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.nodes").alias("node"))
+    sets = first.where("kind in ('own', 'shared')").groupBy("chunk").applyInArrow(sets_of(percent), SETS)
+    # A set in several chunks stands in all of them; its classes are the same everywhere.
+    sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
+    alone = nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
+    least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = _roots(scratch, sets, percent)
+    if roots is None:
+        named = least.select("node", F.col("least").alias("component_id"))
+    else:
+        # The least doc_id of each component, then of each document by its node.
+        lowest = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = lowest.join(lowest.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return alone.drop("component_id").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+
+
+def _roots(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of the nodes that have links, null if none has."""
+    keys = sets.select("node", "n", "lone", "rare", "tokens").mapInArrow(index_keys(percent), "key long, node long, n long, lone long")
     keys = scratch.table(keys, "all-keys")
     # A key of one node links nothing. The pivot of a key is its node with most shared keys: of a group of copies, the
     # one that has least of its own.
     several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    shared = scratch.table(keys.join(several, "key").distinct(), "keys")
+    shared = scratch.table(keys.join(several, "key"), "keys")
     scratch.drop("all-keys")
     degrees = shared.groupBy("node").agg(F.count("*").alias("degree"))
-    pivots = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    paired = shared.join(pivots, "key")
+    pivots = shared.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", "lone")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.lone").alias("pivot_lone"))
 
     # At first each node is checked against the pivot with which it shares most keys.
-    often = paired.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    paired = shared.join(pivots, "key").where("node <> pivot").where(bound(percent, "n", "lone", "pivot_n", "pivot_lone"))
+    often = paired.groupBy("node", "pivot").agg(F.count("*").alias("c"))
     best = often.groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"))
-    candidates = scratch.table(best.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs-0")
-    links = _verified(scratch, texts, least, candidates, ngram, percent, "0")
+    links = _verified(scratch, sets, _likely(sets, best, percent), percent, "0")
     roots = components(scratch, links, "roots-0")
-    checked = candidates
     for k in range(1, PIVOT_ROUNDS + 2):
         # Only keys whose nodes are in several components can still give a new connection.
-        known = least.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = shared.join(known, "node")
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s").select("key", "m")
-        labelled = scratch.table(labelled.join(open_keys, "key"), f"open-{k}")
-        scratch.drop("keys" if k == 1 else f"open-{k - 1}")
-        if scratch.empty(labelled):
-            break
-        # A short key is done with at once: its pairs across components. A long one gets another pivot: the least by
-        # a hash that changes with the round. The last round leaves nothing.
-        short = F.col("m") <= (SHORT if k <= PIVOT_ROUNDS else 2**62)
-        other = labelled.where(short).select("key", F.col("node").alias("pivot"), F.col("n").alias("own_n"), F.col("root").alias("own"))
-        sized = f"100 * least(n, own_n) >= {percent} * greatest(n, own_n)"
-        pairs = labelled.join(other, "key").where("root < own").where(sized).select("node", "pivot")
-        long_keys = k <= PIVOT_ROUNDS and not scratch.empty(labelled.where(~short))
-        if long_keys:
-            order = F.xxhash64(F.lit(k), "node")
-            pivot = labelled.where(~short).groupBy("key").agg(F.min(order).alias("h"))
-            pivot = labelled.join(pivot, "key").where(order == F.col("h")).select("key", F.col("node").alias("pivot"), F.col("n").alias("own_n"), F.col("root").alias("own"))
-            pairs = pairs.union(labelled.join(pivot, "key").where("root <> own").where(sized).select("node", "pivot"))
-        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        pairs = scratch.table(pairs.join(checked, ["a", "b"], "left_anti"), f"pairs-{k}")
-        shared = labelled.where(~short).select("key", "node")
-        if not scratch.empty(pairs):
-            found = _verified(scratch, texts, least, pairs, ngram, percent, str(k))
-            checked = checked.union(pairs)
-            if not scratch.empty(found):
-                links = scratch.table(links.union(found), f"links-to-{k}")
-                roots = components(scratch, links, f"roots-{k}")
-        if not long_keys:
+        labelled = shared.select("key", "node", "n", "lone").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+        shared = scratch.table(labelled.join(open_keys, "key"), f"open-{k}")
+        scratch.drop(f"open-{k - 1}" if k > 1 else "keys")
+        if scratch.empty(shared):
             break
-    # The least doc_id of each component, then of each document by its node.
-    lowest = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = lowest.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = lowest.join(named, "root").select("node", "component_id")
-    return nodes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+        if k <= PIVOT_ROUNDS:
+            # Another pivot for each key: the least by a hash that changes with the round.
+            own = F.struct(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("lone").alias("pivot_lone"), F.col("root").alias("own"))
+            other = shared.groupBy("key").agg(F.min_by(own, F.xxhash64(F.lit(k), "node")).alias("p")).select("key", "p.*")
+            pairs = shared.join(other, "key").where("root <> own").where(bound(percent, "n", "lone", "pivot_n", "pivot_lone"))
+            likely = _likely(sets, pairs.select("node", "pivot").distinct(), percent)
+        else:
+            likely = _likely_of_blocks(sets, shared, percent)
+        links = links.union(_verified(scratch, sets, likely, percent, str(k)))
+        roots = components(scratch, links, f"roots-{k}")
+    return None if scratch.empty(roots) else roots
+
+
+def _likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (node, pivot) that their signatures don't rule out."""
+    known = sets.select("node", "n", "lone", "bits")
+    both = pairs.toDF("a", "b").join(known.toDF("a", "m", "p", "x"), "a").join(known.toDF("b", "n", "q", "y"), "b")
+    return both.mapInArrow(may_link(percent), "a long, b long")
+
+
+def _likely_of_blocks(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes that share a key, in different components, which their signatures don't rule out.
+
+    The members of a key are packed into blocks of about BLOCK. Those outside its largest component are compared to all,
+    block by block, so a key of any size is dealt over many tasks, and only likely pairs become rows.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    rows = members.join(sizes, "key").join(sets.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
+    blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "n", "lone", "root", "bits")).alias("x"))
+    minor = rows.where("root <> main").groupBy("key", F.col("block").alias("minor_block")).agg(F.collect_list(F.struct("node", "n", "lone", "root", "bits")).alias("y"))
+    return blocks.join(minor, "key").select("x", "y").mapInArrow(block_pairs(percent), "a long, b long").distinct()
 
 
-def _verified(scratch: Scratch, texts: DataFrame, least: DataFrame, pairs: DataFrame, ngram: int, percent: int, name: str) -> DataFrame:
+def _verified(scratch: Scratch, sets: DataFrame, likely: DataFrame, percent: int, name: str) -> DataFrame:
     """Those of the node pairs (a, b) that link, as a table."""
-    known = least.select("node", "n", "bits")
-    pairs = pairs.join(known.toDF("a", "m", "x"), "a").join(known.toDF("b", "n", "y"), "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)")
-    pairs = scratch.table(pairs.mapInArrow(may_link(percent), "a long, b long"), f"likely-{name}")
-    if scratch.empty(pairs):
-        return pairs
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = least.select("node", "least").join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    sets = scratch.table(texts.join(ids, "doc_id").mapInArrow(token_sets(ngram), "node long, tokens binary"), f"sets-{name}")
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    links = joined.mapInArrow(_compare, "a long, b long, both long, either long").where(f"100 * both >= {percent} * either")
-    links = scratch.table(links.select("a", "b"), f"links-{name}")
-    scratch.drop(f"sets-{name}", f"likely-{name}")
+    likely = scratch.table(likely, f"likely-{name}")
+    own = sets.select("node", "n", "tokens")
+    links = likely.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").mapInArrow(do_link(percent), "a long, b long")
+    links = scratch.table(links, f"links-{name}")
+    scratch.drop(f"likely-{name}")
     return links
 
 

@@ -58,7 +58,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     sets = {d: shingle_set(t) for d, t, *_ in rows}
     root = {d: d for d in sets}
 
@@ -71,19 +71,21 @@ def brute_components(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("frequent", [32, 1])
-def test_join_is_exact(docs, rows, frequent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "DEVIATIONS", 0.0)
-    monkeypatch.setattr(ngram_join, "SHORT", 3)
-    found = ngram_join.ngram_jaccard_join(docs).collect()
-    want = brute_components(rows)
+@pytest.mark.parametrize(("frequent", "chunk", "percent"), [(32, 10**6, 75), (1, 500, 75), (1, 900, 51), (2, 500, 90)])
+def test_join_is_exact(docs, rows, frequent, chunk, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RARE", frequent)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "PART", 1000)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
+    found = ngram_join.ngram_jaccard_join(docs, percent=percent).collect()
+    want = brute_components(rows, percent)
     assert len(found) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
 
