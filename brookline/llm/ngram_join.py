@@ -20,7 +20,7 @@ one class everywhere leaves the join exact: copies in other chunks may make a lo
 
 Each indexed key refers its nodes to one of them, its pivot, and at first each node is checked against the pivot with
 which it shares most keys: no more candidates than nodes. The sizes and the numbers of lone tokens of two nodes bound
-their overlap, bit signatures of two bytes a token do so more closely; what is left is verified on all shared tokens.
+their overlap, bit signatures do so more closely; what is left is verified on all shared tokens.
 Nodes of one component need no more checks. Keys that still hold several components get other pivots for some rounds;
 of those left then, the members outside a key's largest component are compared to its other members, packed into
 blocks, so that no key is one task and only pairs that signatures don't rule out become rows. Near copies by the million
@@ -44,10 +44,10 @@ from .common import Scratch, components, documents, hashed_words, mix, set_hash,
 CHUNK, PART, MOST_DOCUMENTS = 1_000_000, 1_500_000, 60_000
 #: A token of more nodes is frequent.
 RARE = 32
-#: Rounds of further pivots before what is left is compared across components, and the nodes of a block there.
-PIVOT_ROUNDS, BLOCK = 2, 512
-#: Bits of a signature for each token, at least.
-SPARSE = 16
+#: Rounds of further pivots before what is left is compared across components: nodes of a key pair by pair, or in blocks.
+PIVOT_ROUNDS, SHORT, BLOCK = 1, 32, 512
+#: Bits of a signature for each token, and bits of a signature at most.
+SPARSE, MOST_BITS = 16, 4096
 #: The holder of a token that several nodes of a chunk hold.
 SEVERAL = 0xFFFF
 
@@ -140,8 +140,8 @@ def add_up(table: pa.Table) -> pa.Table:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of bits that is at least SPARSE times the tokens, and 64."""
-    width = 1 << max(6, (SPARSE * len(tokens) - 1).bit_length())
+    """A bit for each token, in a power of two of bits that is at least SPARSE times the tokens, 64 to MOST_BITS."""
+    width = min(MOST_BITS, 1 << max(6, (SPARSE * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -391,7 +391,7 @@ def _roots(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame | None:
             pairs = shared.join(other, "key").where("root <> own").where(bound(percent, "n", "lone", "pivot_n", "pivot_lone"))
             likely = _likely(sets, pairs.select("node", "pivot").distinct(), percent)
         else:
-            likely = _likely_of_blocks(sets, shared, percent)
+            likely = _likely_of_all(sets, shared, percent)
         links = links.union(_verified(scratch, sets, likely, percent, str(k)))
         roots = components(scratch, links, f"roots-{k}")
     return None if scratch.empty(roots) else roots
@@ -404,17 +404,24 @@ def _likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(may_link(percent), "a long, b long")
 
 
-def _likely_of_blocks(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _likely_of_all(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes that share a key, in different components, which their signatures don't rule out.
 
-    The members of a key are packed into blocks of about BLOCK. Those outside its largest component are compared to all,
-    block by block, so a key of any size is dealt over many tasks, and only likely pairs become rows.
+    The members of a key of more than SHORT are packed into blocks of about BLOCK. Those outside its largest component
+    are compared to all, block by block, so a key of any size is dealt over many tasks, and only likely pairs become rows.
     """
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    rows = members.join(sizes, "key").join(sets.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-    blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "n", "lone", "root", "bits")).alias("x"))
-    minor = rows.where("root <> main").groupBy("key", F.col("block").alias("minor_block")).agg(F.collect_list(F.struct("node", "n", "lone", "root", "bits")).alias("y"))
-    return blocks.join(minor, "key").select("x", "y").mapInArrow(block_pairs(percent), "a long, b long").distinct()
+    rows = members.join(sizes, "key")
+    short, long_keys = rows.where(F.col("m") <= SHORT), rows.where(F.col("m") > SHORT)
+    other = short.where("root <> main").select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("lone").alias("pivot_lone"), F.col("root").alias("own"))
+    pairs = short.join(other, "key").where("root <> own").where(bound(percent, "n", "lone", "pivot_n", "pivot_lone"))
+    pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    packed_rows = long_keys.join(sets.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
+    members_of = F.collect_list(F.struct("node", "n", "lone", "root", "bits"))
+    blocks = packed_rows.groupBy("key", "block").agg(members_of.alias("x"))
+    minor = packed_rows.where("root <> main").groupBy("key", F.col("block").alias("minor_block")).agg(members_of.alias("y"))
+    compared = blocks.join(minor, "key").select("x", "y").mapInArrow(block_pairs(percent), "a long, b long")
+    return _likely(sets, pairs, percent).union(compared.distinct())
 
 
 def _verified(scratch: Scratch, sets: DataFrame, likely: DataFrame, percent: int, name: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_join_is_exact(docs, rows, frequent, chunk, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     monkeypatch.setattr(ngram_join, "PART", 1000)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
     found = ngram_join.ngram_jaccard_join(docs, percent=percent).collect()
     want = brute_components(rows, percent)
     assert len(found) == len(rows)
