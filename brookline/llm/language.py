@@ -20,14 +20,22 @@ from .common import documents
 from .pretokens import slices
 
 PROFILE = 400
-#: Words are runs of letters, with one edge mark on both sides.
+#: Words are runs of letters (``str.isalpha``), with one edge mark on both sides. The pattern also takes numbers that are no
+#: digits, as one half; they separate words as digits do.
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = 0x20
 
 
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in text).split()
+
+
 def gram_ids(text: str) -> np.ndarray:
     """The n-grams of a text, each as up to three code points of 21 bits; edges alone are no n-gram."""
-    letters = " ".join(["", *WORD.findall(text.lower()), ""])
+    letters = " ".join(["", *words_of(text.lower()), ""])
     if len(letters) < 3:
         return np.zeros(0, np.int64)
     points = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,12 +94,14 @@ def cut_pieces(path: str, end_id: int, window: int):
 
 
 def _packer(window: int, groups: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        where, offset, _ = best_fit_decreasing(rows["length"].tolist(), window)
-        rows["sequence_id"] = np.array(where, np.int64) * groups + rows["part"].to_numpy()
-        rows["offset"] = np.array(offset, np.int64)
-        return rows.drop(columns="part")
+    """Grouped map: the pieces of a group with their sequences. Ties in length: by doc_id (null ones last), start, checksum, row."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")]
+        table = table.sort_by(keys)
+        where, offset, _ = best_fit_decreasing(table.column("length").to_pylist(), window)
+        sequence = np.array(where, np.int64) * groups + table.column("part")[0].as_py()
+        return table.drop_columns(["part", "row"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset, pa.int64()))
 
     return pack
 
@@ -109,14 +110,16 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = Non
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of the whole texts.
 
     Each text (null: empty) is its ids and ``end_id``, so an empty one is a piece of one id. Pieces of a sequence are
-    gapless from offset 0 and at most ``window`` ids long together. Rows of one doc_id are documents of their own.
-    Other columns are ignored; an empty table gives an empty result.
+    gapless from offset 0 and at most ``window`` ids long together. Rows of one doc_id, and rows without one, are
+    documents of their own. Pieces are dealt by the place of their row, so equal rows go to different groups. Pieces of
+    one length are taken in the order of doc_id. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.table(documents(docs).mapInArrow(cut_pieces(path or default_path(), end_id, window), PIECES), "pieces")
+    pieces = documents(docs).mapInArrow(cut_pieces(path or default_path(), end_id, window), PIECES)
+    pieces = scratch.table(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("part")
-    return pieces.select("*", part).groupBy("part").applyInPandas(_packer(window, groups), f"{PIECES}, sequence_id long, offset long")
+    part = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("part")
+    return pieces.select("*", part).groupBy("part").applyInArrow(_packer(window, groups), f"{PIECES}, sequence_id long, offset long")
 
 
 def op9_pack_documents(spark, sf_dir: str) -> DataFrame:
