@@ -13,7 +13,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -21,8 +21,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 ODD = re.compile("[^\x00-\x1b\x20-ɏ]")
-#: Distinct words that a worker keeps, over all its tasks; beyond, it starts anew.
-MOST_WORDS = 900_000
+#: Distinct words, and characters of words, that a worker keeps, over all its tasks; beyond, it starts anew.
+MOST_WORDS, MOST_CHARACTERS = 800_000, 16_000_000
 
 
 def default_path() -> str:
@@ -39,13 +39,14 @@ class WordCache:
     """Word -> what ``encode_words`` makes of it, with a bound on its size."""
 
     def __init__(self, encode_words: Callable[[list[str]], list]):
-        self.encode_words, self.known = encode_words, {}
+        self.encode_words, self.known, self.characters = encode_words, {}, 0
 
-    def add(self, texts: list[list[str]]) -> None:
+    def add(self, texts: Iterable[list[str]]) -> None:
         """Learns all words of the texts."""
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
+        if len(self.known) > MOST_WORDS or self.characters > MOST_CHARACTERS:
+            self.known, self.characters = {}, 0
         new = list(set().union(*texts).difference(self.known))
+        self.characters += sum(map(len, new))
         self.known.update(zip(new, self.encode_words(new), strict=True))
 
 
@@ -62,38 +63,47 @@ def latin_pattern() -> re.Pattern:
 class LibraryEncoder:
     """Ids of texts as little-endian unsigned 16-bit integers (the vocabulary has 49,408 ids).
 
-    New words go to the library as their distinct pieces, many to a call; the last id of each piece is one of those that
-    end a word, which tells the pieces' ids apart again.
+    New words are cut into pieces, and new pieces go to the library's model many to a call, past the normaliser and the
+    splitting pattern, whose work on plain lower-case words is done. The last id of each piece is one of those that end
+    a word, which tells the pieces' ids apart again.
     """
 
     PIECES = 400
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for x in (self.library, self.model):
+            x.no_truncation()
+            x.no_padding()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.library.get_vocab_size()
         if size > 65536:
             raise ValueError("ids must fit 16 bits")
         suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
-        self.pieces = latin_pattern()
+        self.pattern = latin_pattern()
+        self.pieces = WordCache(self._pieces)
         self.cache = WordCache(self._words)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        split = [self.pieces.findall(w) for w in words]
-        distinct = list(set().union(*split))
-        known = {}
-        for at in range(0, len(distinct), 64 * self.PIECES):
-            part = distinct[at : at + 64 * self.PIECES]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 64 * self.PIECES):
+            part = pieces[at : at + 64 * self.PIECES]
             texts = [" ".join(part[k : k + self.PIECES]) for k in range(0, len(part), self.PIECES)]
-            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.concatenate([np.array(x.ids, np.uint16) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+            cuts = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
             data = ids.tobytes()
-            known.update(zip(part, [data[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        split = [(w,) if w.isalpha() else self.pattern.findall(w) for w in words]
+        self.pieces.add(split)
+        known = self.pieces.known
         return [known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -21,8 +21,9 @@ from .common import Scratch, documents
 from .pretokens import default_path, library_encoder, slices
 
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens int, ids array<int>"
-#: ORC writer settings: index rows, Bloom filter column and false-positive rate, stripe bytes.
-ORC_OPTIONS = {"orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+#: ORC writer settings: index rows, Bloom filter column and false-positive rate, stripe bytes. A task writes one file
+#: whatever the session says, since starts count within files.
+ORC_OPTIONS = {"maxRecordsPerFile": "0", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 
 def token_rows(path: str, end_id: int | None):
@@ -48,8 +49,8 @@ def token_rows(path: str, end_id: int | None):
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 1, files: int | None = None) -> str:
     """Encodes whole texts (null: empty) and writes them to ORC files below ``path``, ascending by doc_id.
 
-    Rows of one doc_id stay together, ordered by text. ``files`` ranges of doc_id, the session's shuffle partitions
-    by default. An empty table writes files without rows. Other columns are ignored.
+    Rows of one doc_id stay together, ordered by text, those with a null doc_id first. ``files`` ranges of doc_id, the
+    session's shuffle partitions by default. An empty table writes files without rows. Other columns are ignored.
     """
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = documents(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -91,4 +92,4 @@ def op4_token_orc(spark, sf_dir: str) -> DataFrame:
     path = write_token_orc(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch.path}/ids")
     rows = spark.read.schema(FILE_SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
     sums = rows.mapInArrow(_checksums, "doc_id long, local_start long, n_tokens long, ids_crc32 long, file string")
-    return sums.join(F.broadcast(file_starts(spark, path)), "file").select("doc_id", (F.col("local_start") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
+    return sums.join(file_starts(spark, path), "file").select("doc_id", (F.col("local_start") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
