@@ -6,9 +6,6 @@ distinct documents do, wherever it stands in them. Documents with equal normalis
 and count once (removing copies is another operator's work); near copies with other words are documents of their own.
 Boilerplate lines are removed, and a document that keeps less than KEEP of its words is depleted and rejected.
 Counting is pre-aggregated in each task, so a line that a third of all rows hold costs no more than others.
-
-The SQL below is as first given: it counts every row and exempts lines between the same neighbours (SAME_PLACE), so
-its rows differ where documents share a block of lines.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ from pyspark.sql import types as T
 from .common import RADIX, Scratch, _power, mix
 from .text_stats import SYMBOL, slices_of
 
-LEAST_DOCUMENTS, SHARE, SAME_PLACE, KEEP = 20, 0.001, 0.5, 0.5
+LEAST_DOCUMENTS, SHARE, KEEP = 20, 0.001, 0.5
 LINE = pa.struct([("h", pa.int64()), ("w", pa.int32())])
 BASE = "host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<struct<h: long, w: int>>"
 
@@ -134,13 +131,11 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c
 again AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY 1),
 line AS (SELECT r, host, i, l, array_to_string(regexp_extract_all({lower}, {word}), ' ') AS h, len(regexp_extract_all(l, {word})) AS n FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(l, {word})),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM line GROUP BY 1),
-place AS (SELECT *, lag(h) OVER (PARTITION BY r ORDER BY i) AS before, lead(h) OVER (PARTITION BY r ORDER BY i) AS after FROM line),
-own AS (SELECT r, host, h, arg_min(coalesce(before, chr(10)), i) AS before, arg_min(coalesce(after, chr(10)), i) AS after, sum(n) AS n FROM place GROUP BY 1, 2, 3),
-b AS (SELECT host, h, sum(c) AS n, max(c) AS most FROM (SELECT host, h, before, count(*) AS c FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
-a AS (SELECT host, h, max(c) AS most FROM (SELECT host, h, after, count(*) AS c FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
-hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
-bad AS (SELECT host, h FROM b JOIN a USING (host, h) JOIN hosts USING (host) WHERE b.n > {LEAST_DOCUMENTS} AND b.n > {SHARE} * docs AND least(b.most, a.most) < {SAME_PLACE} * b.n),
-lost AS (SELECT r, sum(n)::bigint AS removed_words FROM own JOIN bad USING (host, h) GROUP BY 1),
+content AS (SELECT d.r, d.host, md5(coalesce(string_agg(h, chr(10) ORDER BY i), '')) AS c FROM d LEFT JOIN line ON line.r = d.r GROUP BY 1, 2),
+hosts AS (SELECT host, count(DISTINCT c) AS docs FROM content GROUP BY 1),
+held AS (SELECT content.host, h, count(DISTINCT c) AS n FROM line JOIN content USING (r) GROUP BY 1, 2),
+bad AS (SELECT host, h FROM held JOIN hosts USING (host) WHERE n > {LEAST_DOCUMENTS} AND n > {SHARE} * docs),
+lost AS (SELECT r, sum(n)::bigint AS removed_words FROM line JOIN bad USING (host, h) GROUP BY 1),
 o AS (SELECT doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
  FROM d LEFT JOIN dup USING (r) LEFT JOIN again USING (r) LEFT JOIN lost USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= {KEEP} * n_words AS kept FROM o"""

@@ -96,9 +96,12 @@ class Slice:
 
 
 def slices_of(column: pa.Array) -> Iterator[tuple[int, int, Slice]]:
-    """(first row, last row + 1, slice) of small slices of a string column."""
+    """(first row, last row + 1, slice) of small slices of a string column.
+
+    Work memory is about 100 bytes a byte of a slice; a text longer than a slice is one slice.
+    """
     data, offsets = string_bytes(column)
-    for start, end in pieces(offsets):
+    for start, end in pieces(offsets, 1_000_000):
         yield start, end, Slice(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
 
 
