@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, documents, hashed_words, mix, set_hash, shingles
+from .pretokens import forget_words
 
 #: Tokens of a chunk, and tokens sent to a part of the hash space, about; documents of a chunk at most.
 CHUNK, PART, MOST_DOCUMENTS = 1_000_000, 1_500_000, 60_000
@@ -47,7 +48,7 @@ RARE = 32
 #: Rounds of further pivots before what is left is compared across components: nodes of a key pair by pair, or in blocks.
 PIVOT_ROUNDS, SHORT, BLOCK = 1, 32, 512
 #: Bits of a signature for each token, and bits of a signature at most.
-SPARSE, MOST_BITS = 16, 4096
+SPARSE, MOST_BITS = 8, 4096
 #: The holder of a token that several nodes of a chunk hold.
 SEVERAL = 0xFFFF
 
@@ -74,9 +75,13 @@ def chunk_of(chunk: int, parts: int, ids: list, sizes: list[int], nodes: list[in
         out.append({"kind": "own", "part": -1 - chunk, "chunk": chunk, "sizes": lengths.tolist(), "nodes": own, "tokens": tokens[several].tobytes(), "holders": holder[several].tobytes()})
         holder = np.where(counts > 1, SEVERAL, holder[first]).astype(np.uint16)
         tokens, counts = tokens[first], counts.astype(np.uint16)
+        # By holder within each part, so that holders compress well as steps from one to the next.
         part = part_of(tokens, parts)
+        order = np.argsort(part << 16 | holder, kind="stable")
+        tokens, holder, counts, part = tokens[order], holder[order], counts[order], part[order]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        out += [{"kind": "sent", "part": int(part[a]), "chunk": chunk, "tokens": tokens[a:b].tobytes(), "holders": holder[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        steps = lambda x: np.diff(x, prepend=np.uint16(0))
+        out += [{"kind": "sent", "part": int(part[a]), "chunk": chunk, "tokens": tokens[a:b].tobytes(), "holders": steps(holder[a:b]).tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return packed(out)
 
 
@@ -91,6 +96,7 @@ def chunks(n: int, parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_words()
         chunk = TaskContext.get().partitionId() << 32
         ids, sizes, nodes, sets, own, size, known = [], [], [], [], [], 0, set()
         for batch in rows:
@@ -135,7 +141,7 @@ def add_up(table: pa.Table) -> pa.Table:
         own = held[cuts[k] : cuts[k + 1]]
         keep = own > 1
         if keep.any():
-            out.append({"kind": "shared", "chunk": chunk, "tokens": sent[k][keep].tobytes(), "holders": np.frombuffer(holders.as_buffer(), np.uint16)[keep].tobytes(), "counts": np.minimum(own[keep], 0xFFFF).astype(np.uint16).tobytes()})
+            out.append({"kind": "shared", "chunk": chunk, "tokens": sent[k][keep].tobytes(), "holders": np.cumsum(np.frombuffer(holders.as_buffer(), np.uint16), dtype=np.uint16)[keep].tobytes(), "counts": np.minimum(own[keep], 0xFFFF).astype(np.uint16).tobytes()})
     return pa.Table.from_batches([packed(out)])
 
 
@@ -342,10 +348,11 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
     first = texts.mapInArrow(chunks(ngram, parts), PACKED).groupBy("part").applyInArrow(add_up, PACKED)
     first = scratch.table(first, "first")
     rows = first.where("kind = 'docs'").select(F.explode(F.arrays_zip("ids", "sizes", "nodes")).alias("d"))
-    nodes = rows.select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.nodes").alias("node"))
+    nodes = scratch.table(rows.select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.nodes").alias("node")), "nodes")
     sets = first.where("kind in ('own', 'shared')").groupBy("chunk").applyInArrow(sets_of(percent), SETS)
     # A set in several chunks stands in all of them; its classes are the same everywhere.
     sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
+    scratch.drop("first")
     alone = nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = _roots(scratch, sets, percent)
@@ -410,7 +417,10 @@ def _likely_of_all(sets: DataFrame, members: DataFrame, percent: int) -> DataFra
     The members of a key of more than SHORT are packed into blocks of about BLOCK. Those outside its largest component
     are compared to all, block by block, so a key of any size is dealt over many tasks, and only likely pairs become rows.
     """
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    # A node that the least size among a key's nodes is too much for has no partner there: see ``bound``.
+    smallest_there = members.groupBy("key").agg(F.min("n").alias("least_n"))
+    members = members.join(smallest_there, "key").where(f"100 * (n - lone) >= {percent} * (least_n + lone)").drop("least_n")
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     rows = members.join(sizes, "key")
     short, long_keys = rows.where(F.col("m") <= SHORT), rows.where(F.col("m") > SHORT)
     other = short.where("root <> main").select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("lone").alias("pivot_lone"), F.col("root").alias("own"))

@@ -119,6 +119,11 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def forget_words() -> None:
+    """Drops the words that this worker has learned: for tasks of other operators that need its memory."""
+    library_encoder.cache_clear()
+
+
 def slices(texts: list[str], most: int = 4_000_000) -> list[tuple[int, int]]:
     """Row ranges of at most ``most`` characters, or of one longer row."""
     out, start, held = [], 0, 0
