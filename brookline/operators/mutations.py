@@ -233,9 +233,11 @@ class Mutator:
             if not children.join(moved, on, "left_semi").isEmpty():
                 raise self._fail(verb, "ReferentialIntegrityViolation")
         elif action == "cascade" and verb == "delete":
-            self.tables.put(r.model, children.join(moved, on, "left_anti"))
+            self.tables.put(r.model, materialized(children.join(moved, on, "left_anti")))
         else:
-            joined = children.join(moved.withColumn("__m", F.lit(True)), on, "left")
+            # One row a key: of parents that share a target value the least new value goes down.
+            moved = moved.groupBy("__k").agg(F.min("__to").alias("__to")).withColumn("__m", F.lit(True))
+            joined = children.join(moved, on, "left")
             value = F.col("__to").cast(children.schema[r.local].dataType) if action == "cascade" else F.lit(None).cast(children.schema[r.local].dataType)
             new = F.when(F.col("__m"), value).otherwise(F.col(r.local))
-            self.tables.put(r.model, joined.withColumn("__new", new).drop(r.local).withColumnRenamed("__new", r.local).select(*children.columns))
+            self.tables.put(r.model, materialized(joined.withColumn("__new", new).drop(r.local).withColumnRenamed("__new", r.local).select(*children.columns)))

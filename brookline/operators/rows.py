@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions.expressions import Value, checked, compile_expression, literal, matches
-from ..functions.types import comparable
+from ..functions.types import INTEGERS, comparable
 from ..plans.frames import ORDER, Context, Frame, Variable, aggregate, aggregate_calls
-from ..plans.nodes import Binary, Call, Expr, Literal, Name, Op, Param, Selection, Unary, walk
+from ..plans.nodes import Call, Expr, Literal, Name, Op, Selection, Unary, walk
 from ..plans.parser import AGGREGATES
 
 
@@ -125,32 +125,41 @@ def sort_columns(frame: Frame, op: Op, context: Context) -> list[Column]:
     return out
 
 
-def bound(op: Op, context: Context) -> int | None:
-    """The number of a limit or offset; None where it isn't an integer: then the operator has no effect."""
-    value = constant(op.expr, context)
-    return max(0, value) if isinstance(value, int) and not isinstance(value, bool) else None
+#: The most rows that Spark's own limit and offset take.
+MOST_ROWS = 2**31 - 1
+
 
+def bound(op: Op, context: Context) -> int | None:
+    """The number of a limit or offset, an expression without columns.
 
-def constant(e: Expr, context: Context) -> object:
-    """An expression without columns, evaluated on the driver; None where it fails."""
+    None where it fails or isn't an integer: then the operator has no effect.
+    """
+    e = op.expr
     if isinstance(e, Literal):
-        return e.value
-    if isinstance(e, Param):
-        if e.name not in context.params:
+        value = e.value
+    else:
+        one = Frame(SparkSession.active().range(1), {})
+        try:
+            _, scope = with_members(one, e, context)
+            v = compile_expression(e, scope)
+        except QueryError:
             return None
-        return context.params[e.name]
-    if isinstance(e, Name):
-        v = context.variables.get(e.name)
-        return v.scalar if isinstance(v, Variable) else v
-    if isinstance(e, Unary) and e.op == "-":
-        v = constant(e.operand, context)
-        return -v if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-    if isinstance(e, Binary) and e.op in "+-*/":
-        a, b = constant(e.left, context), constant(e.right, context)
-        if not (type(a) is int and type(b) is int) or e.op == "/" and b == 0:
+        if v.type not in INTEGERS:
             return None
-        return {"+": a + b, "-": a - b, "*": a * b, "/": abs(a) // abs(b or 1) * (1 if (a < 0) == (b < 0) else -1)}[e.op]
-    return None
+        value = one.df.select(v.column if v.error is None else F.when(v.error.isNull(), v.column)).first()[0]
+        value = None if value is None else int(value)
+    return max(0, value) if isinstance(value, int) and not isinstance(value, bool) else None
+
+
+def limited(frame: Frame, kind: str, n: int) -> Frame:
+    """The first n rows, or those after them. A limit beyond Spark's range takes all rows; an offset is counted by rank."""
+    if kind == "limit":
+        return replace(frame, df=frame.df.limit(n)) if n <= MOST_ROWS else frame
+    if n <= MOST_ROWS:
+        return replace(frame, df=frame.df.offset(n))
+    order = [*frame.order, *([F.col(ORDER)] if ORDER in frame.df.columns else [])] or [F.lit(0)]
+    ranked = frame.df.withColumn("__rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return replace(frame, df=ranked.where(F.col("__rank") > n).drop("__rank"))
 
 
 def group(frame: Frame, op: Op, later: list[Op], selection: Selection | None, context: Context, extra: tuple[str, ...] = ()) -> Frame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,12 +25,22 @@ RELATIONS = (
 )
 
 
-def session(spark: SparkSession, sf_dir: str) -> Session:
+def session(spark: SparkSession, sf_dir: str, text: str | None = None) -> Session:
+    """A session with all models, or with those that a request names and those that its relations lead to."""
+    words = set(re.findall(r"\w+", text)) if text is not None else None
+    wanted = set(MODELS) if words is None else words & set(MODELS)
+    if words is not None:
+        wanted |= {"Orders", "Lineitem"} if "OrderLine" in words else set()
+        wanted |= {target for _, alias, _, target, _ in RELATIONS if alias in words}
     s = Session(spark)
     for name, (table, key) in MODELS.items():
-        s.register_parquet(name, f"{sf_dir}/{table}.parquet", key)
+        if name in wanted:
+            s.register_parquet(name, f"{sf_dir}/{table}.parquet", key)
     for model, alias, local, target, column in RELATIONS:
-        s.catalog.relate(model, alias, local, target, column)
+        if {model, target} <= wanted:
+            s.catalog.relate(model, alias, local, target, column)
+    if words is not None and "OrderLine" not in words:
+        return s
     # A model with nulls, which no test table has: the number of an order's first line, null without lines.
     orders, lines = s.table("Orders"), s.table("Lineitem")
     first = lines.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("line"))
@@ -49,7 +60,7 @@ class Case:
     prepare: Callable[[Session], None] | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = session(spark, sf_dir)
+        s = session(spark, sf_dir, None if self.prepare else self.text)
         if self.prepare:
             self.prepare(s)
         df = s.query(self.text, self.params)
@@ -145,6 +156,22 @@ CASES = {
     "read_your_writes": Case("Orders |> where(o_orderkey < 50) |> delete {} Orders { n: count() lo: min(o_orderkey) }", "SELECT count(*) AS n, min(o_orderkey) AS lo FROM orders WHERE o_orderkey >= 50"),
     "events_filter": Case('Event |> where(event_type == "purchase" && value > 50.0) { event_id user_id value }', "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50.0"),
     "events_group": Case("Event |> group(event_type) { event_type n: count() first: min(ts) last: max(ts) u: max(user_id) }", "SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last, max(user_id) AS u FROM events GROUP BY 1"),
+    "index_hint": Case("Orders.by_customer |> where(o_custkey == 7) { o_orderkey }", "SELECT o_orderkey FROM orders WHERE o_custkey = 7"),
+    "unaliased_call": Case("Orders |> group(o_orderstatus) { o_orderstatus count() }", "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY 1"),
+    "current_timestamp": Case("Event |> where(ts < CurrentTimestamp) { event_id }", "SELECT event_id FROM events WHERE ts < now()::timestamp"),
+    "group_sum_f64": Case("Lineitem |> group(l_returnflag) { l_returnflag s: sum(l_quantity) }", "SELECT l_returnflag, sum(l_quantity) AS s FROM lineitem GROUP BY 1"),
+    "group_first_seen": Case("Orders |> sort(o_orderkey asc) |> group(o_orderstatus) { o_orderstatus o_custkey }", "SELECT o_orderstatus, arg_min(o_custkey, o_orderkey) AS o_custkey FROM orders GROUP BY 1"),
+    "fn_abs_i64": Case("Orders { o_orderkey a: abs(o_custkey - 100) }", "SELECT o_orderkey, abs(o_custkey - 100) AS a FROM orders"),
+    "limit_expression": Case('Orders |> sort(o_orderkey asc) |> offset(coalesce(null, 2)) |> limit(length("abc")) { o_orderkey }', "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3 OFFSET 2"),
+    "limit_variable": Case("let n = 1 + 1\nOrders |> sort(o_orderkey asc) |> limit(n * $k) { o_orderkey }", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 6", {"$k": 3}),
+    "limit_no_integer": Case('Nation |> sort(n_nationkey asc) |> limit("abc") |> offset(1 / 0) { n_nationkey }', "SELECT n_nationkey FROM nation"),
+    "limit_huge": Case("Nation |> sort(n_nationkey asc) |> limit(3000000000) { n_nationkey }", "SELECT n_nationkey FROM nation"),
+    "offset_huge": Case("Nation |> sort(n_nationkey asc) |> offset(3000000000) { n_nationkey }", "SELECT n_nationkey FROM nation WHERE false"),
+    "scope_before_pipe": Case("Orders large |> sort(o_orderkey asc) |> limit(20) { o_orderkey }", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000.0 ORDER BY o_orderkey LIMIT 20", prepare=_scope),
+    "insert_returning": Case('Tag |> insert((id = 1, label = "x"), (id = 2)) { id label }', "SELECT 1::bigint AS id, 'x' AS label UNION ALL SELECT 2, 'new'", prepare=_tags),
+    "update_returning": Case("Supplier |> where(s_suppkey <= 3) |> update(s_acctbal = 1.0) { s_suppkey s_acctbal }", "SELECT s_suppkey, 1.0::double AS s_acctbal FROM supplier WHERE s_suppkey <= 3"),
+    "fk_set_null_update": Case("Nation |> where(n_nationkey == 3) |> update(n_nationkey = 300) {}", "SELECT * REPLACE (CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS c_nationkey) FROM customer", table="Customer", prepare=_integrity("restrict", "setNull")),
+    "coercion": Case('Tag |> insert((id = 7, weight = 200), (id = 8, weight = 1 + 1)) {}', "SELECT 7::bigint AS id, 'new' AS label, 200::smallint AS weight, false AS seen UNION ALL SELECT 8, 'new', 2, false", table="Tag", prepare=_tags),
     "documents_labels": Case("Document |> where(n_chars > 1000) { doc_id labels { quality toxic } }", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars > 1000"),
 }
 
@@ -188,8 +215,75 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("r_regionkey", F.array_join(F.transform("nations", lambda x: F.concat_ws(":", x.n_nationkey.cast("string"), x.n_name)), ",").alias("nations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.run for name, case in CASES.items()} | {name: _advice(rule) for name, (rule, _) in ADVICE.items()} | {"table_statistics": _stats, "nested_tree": _tree}
+_TAG = 'Tag { field(id, i64, notNull, primaryKey) field(label, string, notNull) field(code, string, nullable) field(big, u64, nullable) index(by_code, [code], unique) }'
+_ITEM = "Item { field(id, i64, notNull, primaryKey) field(tag_id, i64, nullable) reference(tag, tag_id, Tag.id, withReferentialIntegrity(onDeleteRestrict, onUpdateRestrict)) }"
+_FILL = 'Tag |> insert((id = 1, label = "a", code = "x"), (id = 2, label = "b")) {} Item |> insert((id = 10, tag_id = 1)) {}'
+
+
+def _ok(rows: int = 0, inserted: int = 0, updated: int = 0, deleted: int = 0, *lines: str) -> str:
+    return "\n".join([f"OK returned_rows={rows} inserted_rows={inserted} updated_rows={updated} deleted_rows={deleted}", *lines])
+
+
+#: Requests over two small models, one after the other in a session, with a response for each: how it starts, or what
+#: error code it names.
+TALKS: dict[str, list[tuple[str, str]]] = {
+    "response_flat": [("Tag |> sort(id asc) { id label code }", _ok(2, 0, 0, 0, "1,a,x", "2,b,null"))],
+    "response_count": [("Tag { id }", _ok(2).split("\n")[0]), ("Tag |> where(id == 9) { id }", _ok(0))],
+    "response_error_line": [("Nothing { id }", "code=ModelNotFound"), ("Tag { nothing }", "code=ColumnNotFound"), ("Tag |> where(", "code=UnexpectedToken")],
+    "response_payload": [('{ n: 1, l: [1, "a", null], t: true }', _ok(1, 0, 0, 0, '{"n":1,"l":[1,"a",null],"t":true}')), ("[1, 2]", _ok(1, 0, 0, 0, "[1,2]"))],
+    "not_null": [("Tag |> insert(id = 5) {}", "code=NullNotAllowed"), ("Tag |> where(id == 1) |> update(label = null) {}", "code=NullNotAllowed"), ("Tag { n: count() }", _ok(1, 0, 0, 0, "2"))],
+    "primary_key": [('Tag |> insert(id = 1, label = "z") {}', "code=DuplicateKey"), ('Tag |> insert((id = 5, label = "z"), (id = 5, label = "y")) {}', "code=DuplicateKey"), ("Tag |> update(id = 1) {}", "code=DuplicateKey")],
+    "unique_index": [('Tag |> insert(id = 5, label = "z", code = "x") {}', "code=DuplicateKey"), ('Tag |> insert((id = 5, label = "z"), (id = 6, label = "z")) {}', _ok(0, 2))],
+    "outgoing_reference": [("Item |> insert(id = 11, tag_id = 9) {}", "code=ReferentialIntegrityViolation"), ("Item |> insert(id = 11) {}", _ok(0, 1)), ("Item |> where(id == 10) |> update(tag_id = 9) {}", "code=ReferentialIntegrityViolation")],
+    "restrict_actions": [("Tag |> where(id == 1) |> delete {}", "code=ReferentialIntegrityViolation"), ("Tag |> where(id == 1) |> update(id = 3) {}", "code=ReferentialIntegrityViolation"), ("Tag |> where(id == 2) |> delete {}", _ok(0, 0, 0, 1))],
+    "range_errors": [('Tag |> insert(id = 5, label = "z", big = 0 - 1) {}', "code=IntegerOutOfRange"), ("Tag |> insert(id = 5, label = 1) {}", "code=TypeMismatch"), ('Tag |> insert(id = 5, label = "z", big = 18446744073709551615) { big }', _ok(1, 1, 0, 0, "18446744073709551615"))],
+    "sum_u64": [('Tag |> insert((id = 5, label = "z", big = 9223372036854775800), (id = 6, label = "z", big = 7)) {}', _ok(0, 2)), ("Tag { s: sum(big) }", _ok(1, 0, 0, 0, "9223372036854775807")), ("Tag |> where(id == 6) |> update(big = 8) {}", _ok(0, 0, 1)), ("Tag { s: sum(big) }", "code=IntegerOverflow")],
+    "summed_counters": [('Tag |> insert(id = 5, label = "z") {} Tag |> where(id > 1) |> update(label = "q") {} Tag |> where(id == 5) |> delete {} Tag |> sort(id asc) { id label }', _ok(2, 1, 2, 1, "1,a", "2,q"))],
+    "let_expression": [("let a = 2 * 3\nlet b = a + 1\nb * 2", _ok(1, 0, 0, 0, "14"))],
+    "variable_errors": [("let a = 1\nlet a = 2\na", "code=DuplicateVariable"), ("let id = 1\nTag |> where(id == 1) { label }", "code=AmbiguousIdentifier")],
+    "request_rollback": [('Tag |> where(id == 2) |> delete {}\nTag |> insert(id = 1, label = "z") {}', "statement_index=1"), ("Tag { n: count() }", _ok(1, 0, 0, 0, "2"))],
+    "transaction": [("BEGIN", "OK BEGIN"), ("Tag |> where(id == 2) |> delete {}", _ok(0, 0, 0, 1)), ("Tag { n: count() }", _ok(1, 0, 0, 0, "1")), ("BEGIN", "code=TransactionState"), ("ROLLBACK", "OK ROLLBACK"), ("Tag { n: count() }", _ok(1, 0, 0, 0, "2")), ("COMMIT", "code=TransactionState")],
+    "inspect_plan": [("Tag |> where(id == 1) |> inspect { id }", _ok(1, 0, 0, 0, "1", "INSPECT plan")), ("inspect runtime --format json", '{"parallelism"')],
+}
+
+
+def _talk(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """(step, request, response) of each request; of a response what the talk states of it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s, out = Session(spark), []
+        s.define(f"{_TAG} {_ITEM}")
+        s.run(_FILL)
+        for k, (request, stated) in enumerate(TALKS[name]):
+            response = s.run(request).removesuffix("\n")
+            if stated.startswith(("code=", "statement_index=")):
+                found = re.search(stated.split("=")[0] + r"=\w+", response)
+                response = found[0] if found and response.startswith("ERR") else response
+            elif "INSPECT" in stated or stated.startswith("{\"par") or name == "response_count":
+                response = response[: len(stated)]
+            out.append((k, request, response))
+        return spark.createDataFrame(out, "step int, request string, response string")
+
+    return run
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session records of its requests."""
+    s = session(spark, sf_dir, "Nation")
+    for text in ("Nation |> where(n_nationkey > 3) { n_name }", "Nation { nothing }", "Nation |> where(n_nationkey == 1) |> delete {}"):
+        s.run(text)
+    return s.metrics().select("operation", "has_predicate", "had_error", (F.col("total_ns") > 0).alias("timed"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.run for name, case in CASES.items()} | {name: _advice(rule) for name, (rule, _) in ADVICE.items()} | {"table_statistics": _stats, "nested_tree": _tree, "metric_records": _metric_records} | {name: _talk(name) for name in TALKS}
 ORACLE_SQL = {name: case.sql for name, case in CASES.items()} | {name: sql for name, (_, sql) in ADVICE.items()} | {
+    name: " UNION ALL ".join(f"SELECT {k} AS step, {_quoted(request)} AS request, {_quoted(stated)} AS response" for k, (request, stated) in enumerate(talk)) for name, talk in TALKS.items()
+} | {
+    "metric_records": "SELECT 'select' AS operation, true AS has_predicate, false AS had_error, true AS timed UNION ALL SELECT 'select', false, true, true UNION ALL SELECT 'delete', true, false, true",
     "table_statistics": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, min({c})::varchar AS least, max({c})::varchar AS greatest FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")),
     "nested_tree": "SELECT r_regionkey, string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey DESC) AS nations FROM region JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS k FROM nation) ON n_regionkey = r_regionkey WHERE k <= 3 GROUP BY 1",
 }

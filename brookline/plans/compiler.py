@@ -71,7 +71,7 @@ class Compiler:
             elif op.kind in ("limit", "offset"):
                 n = rows.bound(op, self.context)
                 if n is not None:
-                    frame = replace(frame, df=frame.df.limit(n) if op.kind == "limit" else frame.df.offset(n))
+                    frame = rows.limited(frame, op.kind, n)
             elif op.kind == "unique":
                 frame = self._unique(frame, ops[k + 1 :], p.selection)
             elif op.kind == "inspect":

@@ -7,6 +7,7 @@ import time
 from collections import deque
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ class Session:
             if len(statements) > 1 and e.statement is None:
                 e.statement = index
             raise
-        except PySparkException as e:
+        except (PySparkException, Py4JError) as e:
             self._undo(savepoint)
             raise runtime_error(e, index if len(statements) > 1 else None, statements[index]) from None
         except BaseException:
@@ -229,10 +230,10 @@ def _collected(result: Result) -> list:
     return (df.withColumns(times) if times else df).collect()
 
 
-def runtime_error(e: PySparkException, index: int | None, statement) -> QueryError:
+def runtime_error(e: PySparkException | Py4JError, index: int | None, statement) -> QueryError:
     found = re.search(r"QERR:(\w+):", str(e))
     if found:
         return QueryError("select computed expression evaluation failed", found[1], "execution", "query", *statement.pos, index)
-    if "ARITHMETIC_OVERFLOW" in str(e) or "overflow" in str(e).lower():
+    if any(f"[{x}" in str(e) for x in ("ARITHMETIC_OVERFLOW", "CAST_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE")):
         return QueryError("aggregate evaluation failed", "IntegerOverflow", "execution", "query", *statement.pos, index)
     return QueryError(str(e).splitlines()[0][:300], "QueryExecutionError", "execution", "query", *statement.pos, index)
