@@ -28,6 +28,8 @@ from .common import POSITION, Scratch, documents, hashed_words, mix
 RELIABLE, TRUST = 5, 1e-6
 #: Bytes of text of a chunk, and n-grams of a partition, about.
 CHUNK, PARTITION = 8_000_000, 4_000_000
+#: Of a document's flags (held out is 1): it has no doc_id.
+NO_ID = 2
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CHUNKS = "docs binary, held binary, lengths binary, words binary, tokens binary"
 SENT = "chunk long, bucket int, keys binary, counts binary"
@@ -53,8 +55,8 @@ def chunk_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end, words, offsets in hashed_words(batch.column("text")):
             parts.append(np.insert(words, offsets[1:], END))
             lengths += (np.diff(offsets) + 1).tolist()
-            docs += ids[start:end]
-            held += out[start:end]
+            docs += [0 if x is None else x for x in ids[start:end]]
+            held += [h | NO_ID * (x is None) for h, x in zip(out[start:end], ids[start:end], strict=True)]
             size += 8 * len(words)
             if size > CHUNK:
                 yield chunk()
@@ -67,7 +69,8 @@ class Chunk:
     """A chunk with its distinct words and bigrams."""
 
     def __init__(self, row: dict):
-        self.docs, self.held = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
+        self.docs, self.flags = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], np.uint8)
+        self.held = self.flags & 1 == 1
         self.lengths, self.words = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["words"], np.uint64)
         self.tokens = np.ascontiguousarray(np.frombuffer(row["tokens"], np.uint16).reshape(2, -1).T).view(np.uint32).ravel().astype(np.int64)
         self.ends = np.cumsum(self.lengths)
@@ -251,7 +254,7 @@ def evaluate(model: Model, buckets: int):
         known = per_doc(w_count[c.tokens] > 0).astype(np.int64)
         return pa.table([
             pa.array([row["chunk"]] * (len(used) + 1), pa.int64()), pa.array([None, *used.tolist()], pa.int32()), pa.array([hashes[sent].tobytes(), *[hashes[sent][place][offsets[b] : offsets[b + 1]].tobytes() for b in used]], pa.binary()), cut(sums),
-            texts(c.docs), texts(c.held.astype(np.uint8)), texts(c.lengths), texts(known), texts(per_doc(model.base(w_count)[c.tokens])), texts(per_doc(log[at])), texts(np.concatenate((by_doc, places.astype(np.int32)))), texts(times.astype(np.int32)),
+            texts(c.docs), texts(c.flags), texts(c.lengths), texts(known), texts(per_doc(model.base(w_count)[c.tokens])), texts(per_doc(log[at])), texts(np.concatenate((by_doc, places.astype(np.int32)))), texts(times.astype(np.int32)),
         ], names=[x.split()[0] for x in STATE.split(", ")])
 
     return run
@@ -290,7 +293,8 @@ def finish(buckets: int):
         by_doc, places = places[: len(docs)], places[len(docs) :]
         doc = np.repeat(np.arange(len(docs)), by_doc)
         more = np.bincount(doc, weights=weights[places] * read("counts", np.int32), minlength=len(docs)) if len(places) else np.zeros(len(docs))
-        return pa.table([pa.array(docs), pa.array(read("held", np.uint8).astype(bool)), pa.array(read("lengths", np.int32).astype(np.int64)), pa.array(read("known", np.int64)), pa.array(read("base", np.float64)), pa.array(read("score", np.float64) + more)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        flags = read("held", np.uint8)
+        return pa.table([pa.array(docs, mask=flags & NO_ID > 0), pa.array(flags & 1 == 1), pa.array(read("lengths", np.int32).astype(np.int64)), pa.array(read("known", np.int64)), pa.array(read("base", np.float64)), pa.array(read("score", np.float64) + more)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -299,13 +303,13 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, one row for each row.
 
     Trained on the rows where ``held_out`` is false (null: false). Tokens: lower-cased (A-Z) words and one end; a null
-    or empty text is its end alone. A null doc_id comes out as -1. Without training rows all tokens are unknown, with
+    or empty text is its end alone. A null doc_id stays null. Without training rows all tokens are unknown, with
     probability 1. An empty table gives an empty result. Other columns are ignored. Words and bigrams are told apart
     by 64-bit hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    rows = documents(docs, F.coalesce(held_out, F.lit(False)).alias("held")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    rows = documents(docs, F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = rows.mapInArrow(chunk_rows, CHUNKS).withColumn("chunk", F.monotonically_increasing_id())
     chunks = scratch.table(chunks, "chunks")
     size = chunks.agg(F.sum(F.octet_length("tokens")), F.count("*")).first()

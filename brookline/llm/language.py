@@ -54,9 +54,19 @@ def ranked(ids: np.ndarray, most: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))[:most]]
 
 
+#: N-grams that a task counts before it passes them on.
+MOST_GRAMS = 500_000
+
+
 def training_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (lang, gram, n) of a task's texts."""
+    """mapInArrow: (lang, gram, n) of a task's texts; an n-gram may come several times."""
     total: dict[str, Counter] = defaultdict(Counter)
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
+        total.clear()
+
     for batch in rows:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for a, b in slices(texts, 1_000_000):
@@ -68,8 +78,9 @@ def training_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = total[lang]
                 for g, c in zip(grams.tolist(), counts.tolist(), strict=True):
                     own[g] += c
-    for lang, own in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
+            if sum(map(len, total.values())) > MOST_GRAMS:
+                yield from counted()
+    yield from counted()
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:

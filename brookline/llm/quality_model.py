@@ -122,10 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """A forest from documents and labels (doc_id, quality); rows without a quality of 0 or 1 teach nothing.
 
     At most ``sample`` labelled documents are read, the least by a hash of their id, so the driver's share is bounded.
+    A document that stands k times and has m labels gives k * m rows; beyond ``sample`` the first by that order count.
     """
     order = F.xxhash64("doc_id")
     chosen = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(sample)
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    # Broadcasts are of at most ``sample`` rows of two numbers.
+    texts = documents(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
     known = texts.select("doc_id", "text").mapInArrow(feature_rows, FEATURE_SCHEMA).join(F.broadcast(chosen), "doc_id")
     rows = known.select("features", "quality").orderBy(order, "quality", "features").limit(sample).collect()
     x = np.array([r.features for r in rows], np.float64).reshape(-1, len(FEATURES))

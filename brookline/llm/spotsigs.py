@@ -110,11 +110,22 @@ def range_bucket(docs: DataFrame, buckets: int) -> tuple[Column, list[int]]:
     return found, bounds
 
 
+#: Bytes of text of a range of documents, about.
+RANGE = 32_000_000
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fingerprint, its edited text's, and their likenesses; one row for each row.
+
+    The next document is the one after it in descending doc_id order, rows of one doc_id by their texts, those without a
+    doc_id last; after the last row comes the first. A null text is an empty one. Of one row, the next is itself. An
+    empty table gives an empty result. Other columns are ignored. Ranges of doc_id hold about RANGE bytes of text.
+    """
     docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     # Each document with the next one in descending doc_id order: windows over ranges of doc_id, and the first document
     # of each range for the last one of the range before.
-    bucket, _ = range_bucket(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket, _ = range_bucket(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE))
     ids = docs.select("doc_id", bucket.alias("bucket"))
     heads = [(r.bucket, r.head) for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()]  # a row a range
     heads.sort(reverse=True)
@@ -122,10 +133,13 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = docs.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), bucket.alias("bucket"))
     order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
     rows = signed.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
-    first = docs.where(F.col("doc_id").isin([h for _, h in heads])).groupBy("doc_id").agg(F.min("text").alias("head_text"))
+    there = F.col("doc_id").isin([h for _, h in heads if h is not None])
+    if any(h is None for _, h in heads):  # a range without doc_ids
+        there = there | F.col("doc_id").isNull()
+    first = docs.where(there).groupBy("doc_id").agg(F.min("text").alias("head_text")).withColumnRenamed("doc_id", "head")
     first = first.withColumn("head_sigs", signatures(F.col("head_text")))
     links = spark.createDataFrame([(b, h) for b, h in after.items()], "bucket int, doc_id long")
-    first = links.join(first, "doc_id").select("bucket", "head_text", "head_sigs")
+    first = links.join(first, F.col("doc_id").eqNullSafe(F.col("head"))).select("bucket", "head_text", "head_sigs")
     rows = rows.join(first, "bucket", "left").select(
         "doc_id", "text", "sigs", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_sigs", "head_sigs").alias("next_sigs"), F.char_length("text").alias("n")
     )

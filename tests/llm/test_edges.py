@@ -138,3 +138,19 @@ def test_orc_files_hold_indexes_and_prune(spark, tmp_path):
         assert len(df.collect()) == there
         read.append(df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value())
     assert read[0] <= 1000 and read[1] == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "x y")], [(None, "the a b c d"), (None, None), (None, "the a b c d")], [(5, "abc the d e f"), (5, "abd the q r s"), (9, None), (None, "tail")], [(1, "")] * 3])
+def test_spotsigs_query_of_odd_tables(spark, tmp_path, rows):
+    import hashlib
+
+    from brookline.llm import spotsigs
+
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in spotsigs.op8_spotsigs(spark, str(tmp_path)).collect())
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = collections.Counter()
+    for k, (d, t) in enumerate(ordered):
+        third, following = len(t) // 3, ordered[(k + 1) % len(ordered)][1]
+        want[d, len(t), hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest()] += 1
+    assert found == want

@@ -142,7 +142,7 @@ def test_katz_is_normalised_and_right(docs, rows, monkeypatch):
 def test_katz_of_nothing(none, spark):
     assert katz.katz_scores(none, F.lit(False)).collect() == []
     only = katz.katz_scores(spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string"), F.lit(True)).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in only) == [(-1, 1, 0, 0.0), (1, 3, 0, 0.0)]
+    assert sorted((r.n_tokens, r.doc_id, r.n_known, r.score) for r in only) == [(1, None, 0, 0.0), (3, 1, 0, 0.0)]
 
 
 @pytest.fixture(scope="module")
