@@ -18,7 +18,7 @@ from ..plans.compiler import Compiler
 from ..plans.frames import Frame
 from ..plans.nodes import Op, Pipeline
 from ..sources.catalog import Model
-from ..sources.tables import Tables, materialized
+from ..sources.tables import Tables
 from . import rows
 
 HIT = "__hit"
@@ -148,7 +148,7 @@ class Mutator:
         for keys in [[model.primary]] * bool(model.primary) + [i.columns for i in model.indexes if i.unique]:
             self._unique(model, keys, new, old, "insert")
         self._outgoing(model, new, "insert")
-        self.tables.put(model.name, materialized(old.select(*model.columns).unionByName(new)))
+        self.tables.put(model.name, self.tables.materialized(old.select(*model.columns).unionByName(new)))
         return Change(inserted=len(structs), rows=new)
 
     def _hits(self, model: Model, where: Op | None) -> DataFrame:
@@ -186,7 +186,7 @@ class Mutator:
             # Later assignments see this one.
             df = frame.df.withColumns({**added, f"__n{k}": wanted}).drop(name).withColumnRenamed(f"__n{k}", name).select(*kept, *added)
             names.add(name)
-        df = materialized(df)
+        df = self.tables.materialized(df)
         for column, name, pos in problems:
             bad = df.where(F.col(column).isNotNull()).select(column).first()
             if bad:
@@ -209,7 +209,7 @@ class Mutator:
         return Change(updated=new.count(), rows=new.select(*model.columns))
 
     def delete(self, model: Model, op: Op, where: Op | None) -> Change:
-        df = materialized(self._hits(model, where))
+        df = self.tables.materialized(self._hits(model, where))
         gone, rest = df.where(HIT).drop(HIT), df.where(~F.col(HIT)).drop(HIT)
         plans = []
         for r in self.catalog.references_to(model.name):
@@ -233,11 +233,11 @@ class Mutator:
             if not children.join(moved, on, "left_semi").isEmpty():
                 raise self._fail(verb, "ReferentialIntegrityViolation")
         elif action == "cascade" and verb == "delete":
-            self.tables.put(r.model, materialized(children.join(moved, on, "left_anti")))
+            self.tables.put(r.model, self.tables.materialized(children.join(moved, on, "left_anti")))
         else:
             # One row a key: of parents that share a target value the least new value goes down.
             moved = moved.groupBy("__k").agg(F.min("__to").alias("__to")).withColumn("__m", F.lit(True))
             joined = children.join(moved, on, "left")
             value = F.col("__to").cast(children.schema[r.local].dataType) if action == "cascade" else F.lit(None).cast(children.schema[r.local].dataType)
             new = F.when(F.col("__m"), value).otherwise(F.col(r.local))
-            self.tables.put(r.model, materialized(joined.withColumn("__new", new).drop(r.local).withColumnRenamed("__new", r.local).select(*children.columns)))
+            self.tables.put(r.model, self.tables.materialized(joined.withColumn("__new", new).drop(r.local).withColumnRenamed("__new", r.local).select(*children.columns)))

@@ -70,21 +70,26 @@ def _rank(frame: Frame, pending: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(KEY).orderBy(*order))
 
 
-def joined_flat(parent: Frame, local: str, child: Frame, prefix: str) -> Frame:
-    """Left join: a row for each parent and child, and one with nulls for a parent without children. Null keys match."""
+def _same(a: Column, b: Column, nullable: bool) -> Column:
+    """Null keys match; where one side has none, plain equality says the same and keeps bucketing and runtime filters usable."""
+    return a.eqNullSafe(b) if nullable else a == b
+
+
+def joined_flat(parent: Frame, local: str, child: Frame, prefix: str, nullable: bool) -> Frame:
+    """Left join: a row for each parent and child, and one with nulls for a parent without children."""
     renamed = child.df.select(F.col(KEY).alias(f"{prefix}{KEY}"), F.col(RANK).alias(f"{prefix}{RANK}"), *[F.col(c).alias(f"{prefix}{c}") for c, _ in child.columns.values()])
-    on = F.col(f"`{parent.columns[local][0]}`").eqNullSafe(F.col(f"`{prefix}{KEY}`"))
+    on = _same(F.col(f"`{parent.columns[local][0]}`"), F.col(f"`{prefix}{KEY}`"), nullable)
     return replace(parent, df=parent.df.join(renamed, on, "left"))
 
 
-def joined_tree(parent: Frame, local: str, child: Frame, fields: list[tuple[str, str]], name: str) -> Frame:
+def joined_tree(parent: Frame, local: str, child: Frame, fields: list[tuple[str, str]], name: str, nullable: bool) -> Frame:
     """A column with each parent's list of children, in their order; an empty list for none.
 
     Children are gathered by parent before the join, so a parent's other columns aren't shuffled with each child.
     """
     item = F.struct(F.col(RANK), *[F.col(f"__c{k}") for k in range(len(fields))])
     lists = child.df.groupBy(F.col(KEY).alias(f"{name}{KEY}")).agg(F.array_sort(F.collect_list(item)).alias("__children"))
-    on = F.col(f"`{parent.columns[local][0]}`").eqNullSafe(F.col(f"`{name}{KEY}`"))
+    on = _same(F.col(f"`{parent.columns[local][0]}`"), F.col(f"`{name}{KEY}`"), nullable)
     df = parent.df.join(lists, on, "left")
     shaped = F.transform("__children", lambda x: F.struct(*[x[f"__c{k}"].alias(n) for k, (n, _) in enumerate(fields)]))
     return replace(parent, df=df.withColumn("__children", F.coalesce(shaped, F.array())))

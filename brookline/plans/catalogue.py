@@ -215,7 +215,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("r_regionkey", F.array_join(F.transform("nations", lambda x: F.concat_ws(":", x.n_nationkey.cast("string"), x.n_name)), ",").alias("nations"))
 
 
-_TAG = 'Tag { field(id, i64, notNull, primaryKey) field(label, string, notNull) field(code, string, nullable) field(big, u64, nullable) index(by_code, [code], unique) }'
+_TAG = 'Tag { field(id, i64, notNull, primaryKey) field(label, string, notNull) field(code, string, nullable) field(big, u64, nullable) index(by_code, [code], unique) hasMany Item }'
 _ITEM = "Item { field(id, i64, notNull, primaryKey) field(tag_id, i64, nullable) reference(tag, tag_id, Tag.id, withReferentialIntegrity(onDeleteRestrict, onUpdateRestrict)) }"
 _FILL = 'Tag |> insert((id = 1, label = "a", code = "x"), (id = 2, label = "b")) {} Item |> insert((id = 10, tag_id = 1)) {}'
 
@@ -243,6 +243,7 @@ TALKS: dict[str, list[tuple[str, str]]] = {
     "variable_errors": [("let a = 1\nlet a = 2\na", "code=DuplicateVariable"), ("let id = 1\nTag |> where(id == 1) { label }", "code=AmbiguousIdentifier")],
     "request_rollback": [('Tag |> where(id == 2) |> delete {}\nTag |> insert(id = 1, label = "z") {}', "statement_index=1"), ("Tag { n: count() }", _ok(1, 0, 0, 0, "2"))],
     "transaction": [("BEGIN", "OK BEGIN"), ("Tag |> where(id == 2) |> delete {}", _ok(0, 0, 0, 1)), ("Tag { n: count() }", _ok(1, 0, 0, 0, "1")), ("BEGIN", "code=TransactionState"), ("ROLLBACK", "OK ROLLBACK"), ("Tag { n: count() }", _ok(1, 0, 0, 0, "2")), ("COMMIT", "code=TransactionState")],
+    "inferred_relation": [("Tag |> sort(id asc) { id Item |> sort(id asc) { id } }", _ok(2, 0, 0, 0, "{id:i64,Item:[{id:i64}]}", "1,[[10]]", "2,[]"))],
     "inspect_plan": [("Tag |> where(id == 1) |> inspect { id }", _ok(1, 0, 0, 0, "1", "INSPECT plan")), ("inspect runtime --format json", '{"parallelism"')],
 }
 

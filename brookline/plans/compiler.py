@@ -107,7 +107,8 @@ class Compiler:
             child, names = nested.children(self.source(target), relation.target_column, replace(f, ops=ops), self.context)
             if relation.local not in frame.columns:
                 raise QueryError(f"relation {f.name} needs column {relation.local}", "ColumnNotFound", "execution", "query", *f.pos)
-            frame = nested.joined_tree(frame, relation.local, child, names, f.name) if tree else nested.joined_flat(frame, relation.local, child, f"r{k}")
+            nullable = model.columns[relation.local].nullable and target.columns[relation.target_column].nullable
+            frame = nested.joined_tree(frame, relation.local, child, names, f.name, nullable) if tree else nested.joined_flat(frame, relation.local, child, f"r{k}", nullable)
             children[id(f)] = child, names
         if below and (frame.order or ORDER in frame.df.columns):
             ranks = [] if tree else [F.col(f"r{k}{nested.RANK}") for k in range(len(below))]

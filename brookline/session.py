@@ -22,7 +22,7 @@ from .plans.nodes import Expr, Let, ListOf, Literal, Name, ObjectOf, Pipeline
 from .plans.parser import parse_request
 from .plans.response import payload_text, response_text
 from .sources.catalog import Catalog, Model, empty, model_of, parquet
-from .sources.tables import Tables, materialized
+from .sources.tables import Tables
 
 CHANGES = {"insert", "update", "delete"}
 #: Metric records that a session keeps, the latest.
@@ -72,6 +72,13 @@ class Session:
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def vacuum(self) -> int:
+        """Deletes the versions that mutations and variables wrote and no table reads any more; how many.
+
+        A frame that ``query`` gave before it can't be run again if it reads one of them.
+        """
+        return self.tables.vacuum(self.spark)
+
     # Requests
 
     def run(self, text: str, params: dict[str, object] | None = None) -> str:
@@ -198,7 +205,7 @@ class Session:
             if len(result.fields) != 1:
                 raise QueryError("a variable takes one column", "VariableShape", "execution", "query", *value.pos)
             kind = result.fields[0][1]
-            frame = materialized(result.df)
+            frame = self.tables.materialized(result.df)
             head = frame.take(2)
             nulls = not frame.where(F.col(frame.columns[0]).isNull()).isEmpty()
             return Variable(frame, kind, head[0][0] if len(head) == 1 else None, len(head) == 1, nulls)
