@@ -16,6 +16,8 @@ SPILLED_PERCENT = 25
 LEAST_LATENCIES, SPIKE_FACTOR, SPIKE_NS, LEAST_SPIKES = 30, 4, 5_000_000, 3
 #: Records of so many microseconds are ordered in one task.
 BUCKET = 3_600_000_000
+#: Latencies are counted by ranges of 2 to this power nanoseconds, about a millisecond.
+RANGE_BITS = 20
 
 SCHEMA = (
     "ts long, operation string, has_predicate boolean, had_error boolean, spilled boolean, temp_bytes_written long, temp_bytes_read long, rows_scanned long, rows_matched long, "
@@ -71,12 +73,28 @@ def low_selectivity(records: DataFrame) -> DataFrame:
     return out.select("predicates", "low", "lowest_ppm", confidence(F.col("low")).alias("confidence"))
 
 
+def middle(own: DataFrame) -> DataFrame:
+    """(a, b): the two values of total_ns in the middle, equal for an odd number of rows; one row, of nulls for no rows.
+
+    Rows are counted by ranges of values; only the ranges that hold the middle, one or two, are put in order, as the
+    counts of their distinct values. So no task holds more than the ranges or the values of a range.
+    """
+    own = own.withColumn("range", F.shiftright("total_ns", RANGE_BITS))
+    sizes = own.groupBy("range").agg(F.count("*").alias("n"))
+    sizes = sizes.select("range", "n", F.sum("n").over(Window.orderBy("range")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))  # a row a range
+    sizes = sizes.withColumns({"before": F.col("upto") - F.col("n"), "low": F.expr("(total + 1) div 2"), "high": F.expr("total div 2 + 1")})
+    holds = lambda rank: (F.col("upto") >= F.col(rank)) & (F.col("before") < F.col(rank))
+    chosen = sizes.where(holds("low") | holds("high")).select("range", "before", "low", "high")
+    values = own.join(F.broadcast(chosen), "range").groupBy("range", "before", "low", "high", "total_ns").agg(F.count("*").alias("n"))  # the broadcast is of two rows at most
+    values = values.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("total_ns"))).withColumn("before", F.col("upto") - F.col("n"))
+    return values.agg(*[F.max(F.when(holds(rank), F.col("total_ns"))).alias(name) for rank, name in (("low", "a"), ("high", "b"))])
+
+
 def latency_spikes(records: DataFrame) -> DataFrame:
     """(samples, spikes, median_ns, threshold_ns, max_ns, triggered, severity, confidence). The median of an even number
     is the sum of the halves, rounded down, of the two in the middle."""
     own = records.where("not had_error and total_ns > 0").select("total_ns")
-    low, high = "percentile_disc(0.5) WITHIN GROUP (ORDER BY total_ns)", "percentile_disc(0.5) WITHIN GROUP (ORDER BY total_ns DESC)"
-    stats = own.agg(F.count("*").alias("samples"), F.max("total_ns").alias("max_ns"), F.expr(low).cast("long").alias("a"), F.expr(high).cast("long").alias("b"))
+    stats = own.agg(F.count("*").alias("samples"), F.max("total_ns").alias("max_ns")).join(middle(own), F.lit(True))  # a row each
     halves = F.when(F.col("samples") % 2 == 1, F.col("a")).otherwise(F.expr("a div 2") + F.expr("b div 2"))
     enough = F.col("samples") >= LEAST_LATENCIES
     stats = stats.withColumn("median_ns", F.when(enough, halves).otherwise(0))
