@@ -1,14 +1,17 @@
 """Licence scan with DataFrame functions only: Dice coefficient over word bigrams.
 
-A document's units are its lines, the whole text, and windows of words across line ends: as long as a template, where
-no line (nor the whole text) is similar already. A unit is compared to a template only if the sizes of their bigram
-sets allow the similarity (the size bounds of the Dice coefficient). Before that, a unit must hold one of a few key
-words: of a template's b bigrams a similar unit misses less than a third, so any choice of that many bigrams is hit,
-and a word of each of them serves as its key. Texts without a key are dropped before any bigram is made.
-
-Windows stand around key bigrams, chosen in the same way. For a notice every window that holds one is compared, which
-are all that can be similar. For a full licence text (``licence_texts``) the windows that put a key bigram where the
-text has it are; above MANY of them starts are rounded down to a hundredth of the text's length.
+A document's units are its lines, the whole text, and windows of words across line ends, as long as a template (less
+what would lie before the text's first word or after its last one): for notices where no line (nor the whole text) is
+similar already, for full licence texts (``licence_texts``) wherever they stand. A unit is compared to a template only
+if the sizes of their bigram sets allow the similarity (the size bounds of the Dice coefficient). Before that, a unit
+must hold one of a few key words: of a template's b bigrams a similar unit misses less than a third, so any choice of
+that many bigrams is hit, and a word of each of them serves as its key. Texts without a key are dropped before any
+bigram is made.
+
+Key bigrams are chosen in the same way. For a notice every window that holds one is compared, which are all that can
+be similar. A full licence text is looked for where its key bigrams and enough of its others occur, at every start: the
+counts of a window follow from those of the one before, and a stretch of starts is left out only if its first window
+lacks more than so many steps can add.
 The SQL below is as first given: it has the notices as templates, and lines and the whole text as units.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import documents
 
 DICE = 0.8
-MANY = 50
 #: Licence notices by SPDX-like name; a licence may have several. Fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -45,7 +48,7 @@ TEMPLATES = (
 )
 #: Full licence texts, by name.
 FULL_TEXTS = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
-WINDOWED = "array<struct<name: string, full: boolean, words: int, n: int, low: double, high: double, keys: array<string>, at: array<int>, grams: array<string>>>"
+WINDOWED = "array<struct<name: string, full: boolean, words: int, n: int, low: double, high: double, keys: array<string>, grams: array<string>, dealt: array<array<string>>>>"
 
 
 def template_words(text: str) -> list[str]:
@@ -88,12 +91,15 @@ def more_keys(full: list[list[str]], keys: list[str], dice: float) -> list[str]:
 
 
 def windowed(name: str, text: str, full: bool, dice: float) -> dict:
-    """A template for windows: its key bigrams and where it has them first, those that it has once preferred."""
+    """A template for windows, with its key bigrams; those of a full text also dealt by checksum, to be looked up."""
     words = template_words(text)
-    pairs, bigrams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)], bigrams_of(words)
-    keys = sorted(bigrams, key=lambda b: (pairs.count(b) > 1, -max(map(len, b.split())), b))[: spare(len(bigrams), dice)]
+    bigrams = bigrams_of(words)
+    keys = sorted(bigrams, key=lambda b: (-max(map(len, b.split())), b))[: spare(len(bigrams), dice)]
     low, high = size_bounds(len(bigrams), dice)
-    return {"name": name, "full": full, "words": len(words), "n": len(bigrams), "low": low, "high": high, "keys": keys, "at": [pairs.index(k) for k in keys], "grams": bigrams}
+    dealt = [[] for _ in bigrams if full]
+    for b in bigrams if full else []:
+        dealt[zlib.crc32(b.encode()) % len(dealt)].append(b)
+    return {"name": name, "full": full, "words": len(words), "n": len(bigrams), "low": low - 1e-9, "high": high + 1e-9, "keys": keys, "grams": bigrams, "dealt": dealt}
 
 
 def normalised(text: Column) -> Column:
@@ -101,31 +107,93 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def window_at(score: Column, t: Column, start: Column) -> Column:
+    return F.struct(score.alias("dice"), t["name"].alias("name"), t.full.alias("full"), start.alias("start"), (start + t.words).alias("end"))
+
+
+def part(pairs: Column, start: Column, n: Column) -> Column:
+    """n bigrams from a start, which may lie before the first: those that there are."""
+    return F.slice(pairs, F.greatest(start, F.lit(0)) + 1, n + F.least(start, F.lit(0)))
+
+
 def windows(pairs: Column, marks: Column, known: Column, dice: float) -> Column:
     """(dice, name, full, start, end) of the similar windows. pairs: bigrams of a text; marks: (b, i) of key bigrams there."""
 
     def of(t: Column) -> Column:
         own = F.filter(marks, lambda x: F.array_contains(t.keys, x.b))
-        near = F.flatten(F.transform(own, lambda x: F.sequence(F.greatest(x.i + 2 - t.words, F.lit(0)), x.i)))
-        there = F.transform(own, lambda x: F.greatest(x.i - F.element_at(t["at"], F.array_position(t.keys, x.b).cast("int")), F.lit(0)))
-        some = F.array_distinct(F.when(t.full, there).otherwise(near))
-        coarse = F.array_distinct(F.transform(some, lambda x: x - x % F.greatest(F.lit(1), (t.words / 100).cast("int"))))
-        starts = F.transform(F.array(some), lambda x: F.when(t.full & (F.size(x) > MANY), coarse).otherwise(x))[0]
+        starts = F.array_distinct(F.flatten(F.transform(own, lambda x: F.sequence(x.i + 2 - t.words, x.i))))
 
         def compared(start: Column) -> Column:
-            own = F.array(F.array_distinct(F.slice(pairs, start + 1, t.words - 1)))
+            own = F.array(F.array_distinct(part(pairs, start, t.words - 1)))
             score = F.transform(own, lambda w: F.when((F.size(w) >= t.low) & (F.size(w) <= t.high), 2.0 * F.size(F.array_intersect(w, t.grams)) / (F.size(w) + t.n)).otherwise(0.0))[0]
-            return F.struct(score.alias("dice"), t["name"].alias("name"), t.full.alias("full"), start.alias("start"), (start + t.words).alias("end"))
+            return window_at(score, t, start)
 
         return F.filter(F.transform(starts, compared), lambda x: x.dice >= dice)
 
     return F.flatten(F.transform(known, of))
 
 
+def neighbours(pairs: Column) -> Column:
+    """(i, b, before, after) of each position: its bigram and where the same one stands before (else -1) and after it (else the largest int)."""
+
+    def beside(by_bigram: Column) -> Column:
+        def at(x: Column, k: Column) -> Column:
+            before, after = F.get(by_bigram, k - 1), F.get(by_bigram, k + 1)
+            return F.struct(x.i.alias("i"), x.b.alias("b"), F.when(before.b == x.b, before.i).otherwise(-1).alias("before"), F.when(after.b == x.b, after.i).otherwise(2**31 - 1).alias("after"))
+
+        return F.transform(by_bigram, at)
+
+    return F.sort_array(once(F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.alias("b"), i.alias("i")))), beside))
+
+
+def full_windows(pairs: Column, known: Column, dice: float) -> Column:
+    """As ``windows``, of every start, in stretches of starts."""
+    none = F.filter(F.array(F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name"), F.lit(True).alias("full"), F.lit(0).alias("start"), F.lit(0).alias("end"))), lambda x: F.lit(False))
+
+    def of(t: Column, places: Column) -> Column:
+        wide = t.words - 1  # bigrams of a window
+        stretch = F.greatest((t.words / 4).cast("int"), F.lit(2))
+
+        def scanned(theirs: Column) -> Column:  # whether the template has the bigram of a place
+            def step(have: Column, start: Column) -> Column:
+                left, come = F.get(places, start - 1), F.get(places, start + wide - 1)
+                minus, plus = F.coalesce(left.after >= start + wide, F.lit(False)), F.coalesce(come.before < F.greatest(start - 1, F.lit(0)), F.lit(False))
+                moved = F.struct(
+                    (have["size"] + plus.cast("int") - minus.cast("int")).alias("size"),
+                    (have.common + (plus & F.coalesce(F.get(theirs, start + wide - 1), F.lit(False))).cast("int") - (minus & F.coalesce(F.get(theirs, start - 1), F.lit(False))).cast("int")).alias("common"),
+                )
+                return once(moved, lambda x: F.struct(x["size"].alias("size"), x.common.alias("common"), F.concat(have.found, similar(x["size"], x.common, start)).alias("found")))
+
+            def similar(size: Column, common: Column, start: Column) -> Column:
+                score = 2.0 * common / (size + t.n)
+                return F.when(score >= dice, F.array(window_at(score, t, start))).otherwise(none)
+
+            def from_first(first: Column) -> Column:
+                def go(own: Column) -> Column:
+                    common = F.size(F.array_intersect(own, t.grams))
+                    # A step adds one at most to what is common less dice / 2 of the size.
+                    near = common - dice / 2 * F.size(own) + stretch >= dice / 2 * t.n
+                    begin = F.struct(F.size(own).alias("size"), common.alias("common"), similar(F.size(own), common, first).alias("found"))
+                    return F.when(near, F.aggregate(F.sequence(first + 1, first + stretch - 1), begin, step).found).otherwise(none)
+
+                return once(F.array_distinct(part(pairs, first, wide)), go)
+
+            return F.flatten(F.transform(F.sequence(1 - wide, F.size(places) - 1, stretch), from_first))
+
+        return once(F.transform(places, lambda x: F.array_contains(F.get(t.dealt, (F.crc32(x.b) % t.n).cast("int")), x.b)), scanned)
+
+    return F.when(F.size(known) > 0, once(neighbours(pairs), lambda places: F.flatten(F.transform(known, lambda t: of(t, places))))).otherwise(none)
+
+
 def apart(found: Column, taken: Column) -> Column:
-    """Windows, best first (full texts before notices), that overlap neither one before nor a taken (start, end)."""
+    """Windows, best first (full texts before notices), that overlap none before and, of notices, no taken (start, end)."""
     first = lambda x, y: F.when(x.full != y.full, F.when(x.full, -1).otherwise(1)).when(x.dice != y.dice, F.when(x.dice > y.dice, -1).otherwise(1)).when(x.start != y.start, F.when(x.start < y.start, -1).otherwise(1)).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0)
-    free = F.filter(found, lambda x: ~F.exists(taken, lambda y: (x.start < y.end) & (y.start < x.end)))
+    free = F.filter(found, lambda x: x.full | ~F.exists(taken, lambda y: (x.start < y.end) & (y.start < x.end)))
     return F.aggregate(F.array_sort(free, first), F.filter(found, lambda x: F.lit(False)), lambda have, x: F.when(F.exists(have, lambda y: (x.start < y.end) & (y.start < x.end)), have).otherwise(F.concat(have, F.array(x))))
 
 
@@ -176,13 +244,15 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, templates: tuple = TEMPLA
     lines = F.transform(F.filter("lines", has_key), normalised)
     rows = rows.withColumn("hits", F.filter(F.transform(F.filter(lines, lambda x: F.locate(" ", x) > 0), hits), lambda x: F.size(x) > 0))
     rows = rows.withColumn("whole", F.when((F.size("lines") > 1) & (F.size("pairs") > 0), F.transform(F.array(F.array_distinct("pairs")), compared)[0]).otherwise(nothing))
-    known_windows = F.from_json(F.lit(json.dumps(across)), WINDOWED)
+    notices, texts = (F.from_json(F.lit(json.dumps([t for t in across if t["full"] == full])), WINDOWED) for full in (False, True))
     all_keys = F.split(F.lit("|".join(sorted({k for t in across for k in t["keys"]}))), r"\|")
-    rows = rows.withColumn("present", F.when(F.size("whole") > 0, none).otherwise(F.array_intersect("pairs", all_keys)))
+    rows = rows.withColumn("present", F.array_intersect("pairs", all_keys))
     marks = F.filter(F.transform("pairs", lambda x, i: F.struct(x.alias("b"), i.alias("i"))), lambda x: F.array_contains("present", x.b))
     no_window = F.array().cast("array<struct<dice: double, name: string, full: boolean, start: int, end: int>>")
     rows = rows.withColumn("marks", F.when(F.size("present") > 0, marks).otherwise(F.array().cast("array<struct<b: string, i: int>>")))
-    rows = rows.withColumn("near", F.when(F.size("marks") > 0, windows(F.col("pairs"), F.col("marks"), known_windows, dice)).otherwise(no_window))
+    possible = F.filter(texts, lambda t: F.arrays_overlap("present", t.keys) & (F.size(F.array_intersect("pairs", t.grams)) >= t.low))
+    found = F.concat(windows(F.col("pairs"), F.col("marks"), notices, dice), once(possible, lambda t: full_windows(F.col("pairs"), t, dice)))
+    rows = rows.withColumn("near", F.when(F.size("marks") > 0, found).otherwise(no_window))
 
     # Where lines with a similar template stand among the words.
     def place(have: Column, line: Column) -> Column:
@@ -192,7 +262,8 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, templates: tuple = TEMPLA
         return F.struct(end.alias("at"), F.when(found > 0, F.concat(have.taken, F.array(F.struct(have.at.alias("start"), end.alias("end"))))).otherwise(have.taken).alias("taken"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("taken"))
-    taken = F.when((F.size("hits") > 0) & (F.size("near") > 0), F.aggregate("lines", start, place).taken).otherwise(start.taken)
+    everything = F.array(F.struct(F.lit(0).alias("start"), F.size("words").alias("end")))
+    taken = F.when(F.size("whole") > 0, everything).when((F.size("hits") > 0) & (F.size("near") > 0), F.aggregate("lines", start, place).taken).otherwise(start.taken)
     rows = rows.withColumn("taken", taken).withColumn("apart", F.when(F.size("near") > 0, apart(F.col("near"), F.col("taken"))).otherwise(no_window))
     same = lambda x, y: (x.start == y.start) & (x.end == y.end) & (x.dice == y.dice)
     closest = F.filter("near", lambda x: (x.dice == 1.0) | F.exists("apart", lambda y: same(x, y)))
