@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,10 +20,10 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession, **more: str) -> Iterator[None]:
     before = {k: spark.conf.get(k) for k in WRITING}
     try:
-        for k, v in WRITING.items():
+        for k, v in (WRITING | more).items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -35,9 +36,11 @@ class Scratch:
 
     A written table cuts lineage and survives lost executors, since the folder is shared by the whole cluster.
     The setting is read from the session; only where it is unset and the master is local (tests) a temporary folder is used.
+    ``batch`` bounds, in bytes, what goes to a Python worker at once, ``group`` a row group, which a task that writes or
+    reads large rows holds whole.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch: int | None = None, group: int | None = None):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = spark.sparkContext.getCheckpointDir()
@@ -47,12 +50,15 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.batch = {"spark.sql.execution.arrow.maxBytesPerBatch": str(batch)} if batch else {}
+        # The writer looks at its size after so many rows.
+        self.options = {"parquet.block.size": group, "parquet.page.size.row.check.min": 1} if group else {}
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> str:
         """Writes a table; ``by`` names a column whose values get a folder each."""
         path = f"{self.path}/{name}"
-        with writing(self.spark):
-            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+        with writing(self.spark, **self.batch):
+            df.write.options(compression="zstd", **self.options).parquet(path, partitionBy=by)
         return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +67,7 @@ class Scratch:
 
     def empty(self, df: DataFrame) -> bool:
         """Whether a frame has no row."""
-        with writing(self.spark):
+        with writing(self.spark, **self.batch):
             return df.isEmpty()
 
     def drop(self, *names: str) -> None:
@@ -219,6 +225,13 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
 
 
+def release() -> None:
+    """Gives freed memory back to the system, which a worker's allocators would keep from task to task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def batches(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]):
     """``mapInArrow`` function from one that takes a batch."""
 

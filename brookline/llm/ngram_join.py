@@ -38,11 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, documents, hashed_words, mix, set_hash, shingles
+from .common import Scratch, components, documents, hashed_words, mix, release, set_hash, shingles
 from .pretokens import forget_words
 
 #: Tokens of a chunk, and tokens sent to a part of the hash space, about; documents of a chunk at most.
 CHUNK, PART, MOST_DOCUMENTS = 1_000_000, 1_500_000, 60_000
+#: Tokens of a packed row (12 bytes each, below half a region of the JVM's heap) and documents of one.
+ROW, DOCUMENTS = 32_000, 8_000
+#: Bytes that go between the JVM and Python at once, of a row group, and of texts hashed at once, about.
+BATCH, GROUP, SLICE = 1 << 20, 4 << 20, 400_000
 #: A token of more nodes is frequent.
 RARE = 32
 #: Rounds of further pivots before what is left is compared across components: nodes of a key pair by pair, or in blocks.
@@ -55,24 +59,39 @@ SEVERAL = 0xFFFF
 PACKED = "kind string, part long, chunk long, ids array<long>, sizes array<long>, nodes array<long>, tokens binary, holders binary, counts binary"
 NAMES = [x.split()[0] for x in PACKED.split(", ")]
 TYPES = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+SCHEMA = pa.schema(list(zip(NAMES, TYPES, strict=True)))
 
 
-def packed(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(NAMES, TYPES, strict=True)], NAMES)
+def packed(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH bytes of tokens and holders, each built when it is asked for."""
+    start, held = 0, 0
+    for k, r in enumerate(rows):
+        held += len(r.get("tokens") or b"") * 3 // 2
+        if held >= BATCH or k == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows[start : k + 1]], t) for n, t in zip(NAMES, TYPES, strict=True)], NAMES)
+            start, held = k + 1, 0
 
 
-def chunk_of(chunk: int, parts: int, ids: list, sizes: list[int], nodes: list[int | None], sets: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
-    """The rows of one chunk. docs: its documents; own: its nodes and the tokens that several of them hold; sent: each distinct token."""
-    out = [{"kind": "docs", "part": -1 - chunk, "chunk": chunk, "ids": ids, "sizes": sizes, "nodes": nodes}]
+def cut(n: int, most: int) -> list[slice]:
+    """Slices of at most ``most`` of n places."""
+    return [slice(k, min(n, k + most)) for k in range(0, n, most)]
+
+
+def chunk_of(chunk: int, parts: int, ids: list, sizes: list[int], nodes: list[int | None], sets: list[np.ndarray], own: list[int]) -> list[dict]:
+    """The rows of one chunk. docs: its documents; own: its nodes, and the tokens that several of them hold; sent: each distinct token. Empties ``sets``."""
+    out = [{"kind": "docs", "part": -1 - chunk, "chunk": chunk, "ids": ids[c], "sizes": sizes[c], "nodes": nodes[c]} for c in cut(len(ids), DOCUMENTS)]
     if sets:
         lengths = np.array([len(x) for x in sets], np.int64)
         tokens, holder = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
         order = np.argsort(tokens, kind="stable")
         tokens, holder = tokens[order], holder[order]
+        sets.clear()
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         counts = np.diff(np.append(first, len(tokens)))
         several = np.repeat(counts > 1, counts)
-        out.append({"kind": "own", "part": -1 - chunk, "chunk": chunk, "sizes": lengths.tolist(), "nodes": own, "tokens": tokens[several].tobytes(), "holders": holder[several].tobytes()})
+        out.append({"kind": "own", "part": -1 - chunk, "chunk": chunk, "sizes": lengths.tolist(), "nodes": own})
+        several = np.flatnonzero(several)
+        out += [{"kind": "own", "part": -1 - chunk, "chunk": chunk, "tokens": tokens[several[c]].tobytes(), "holders": holder[several[c]].tobytes()} for c in cut(len(several), ROW)]
         holder = np.where(counts > 1, SEVERAL, holder[first]).astype(np.uint16)
         tokens, counts = tokens[first], counts.astype(np.uint16)
         # By holder within each part, so that holders compress well as steps from one to the next.
@@ -81,8 +100,9 @@ def chunk_of(chunk: int, parts: int, ids: list, sizes: list[int], nodes: list[in
         tokens, holder, counts, part = tokens[order], holder[order], counts[order], part[order]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         steps = lambda x: np.diff(x, prepend=np.uint16(0))
-        out += [{"kind": "sent", "part": int(part[a]), "chunk": chunk, "tokens": tokens[a:b].tobytes(), "holders": steps(holder[a:b]).tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return packed(out)
+        rows = [slice(a + c.start, a + c.stop) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for c in cut(b - a, ROW)]
+        out += [{"kind": "sent", "part": int(part[c.start]), "chunk": chunk, "tokens": tokens[c].tobytes(), "holders": steps(holder[c]).tobytes(), "counts": counts[c].tobytes()} for c in rows]
+    return out
 
 
 def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -101,7 +121,7 @@ def chunks(n: int, parts: int):
         ids, sizes, nodes, sets, own, size, known = [], [], [], [], [], 0, set()
         for batch in rows:
             batch_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for start, _, words, offsets in hashed_words(batch.column("text")):
+            for start, _, words, offsets in hashed_words(batch.column("text"), SLICE):
                 for k, tokens in enumerate(shingles(words, offsets, n)):
                     node = set_hash(tokens) if len(tokens) else None
                     ids.append(batch_ids[start + k])
@@ -113,11 +133,14 @@ def chunks(n: int, parts: int):
                         sets.append(tokens)
                         size += len(tokens)
                     if size >= CHUNK or len(ids) >= MOST_DOCUMENTS:
-                        yield chunk_of(chunk, parts, ids, sizes, nodes, sets, own)
+                        yield from packed(chunk_of(chunk, parts, ids, sizes, nodes, sets, own))
                         ids, sizes, nodes, sets, own, size, known = [], [], [], [], [], 0, set()
                         chunk += 1
+                        release()
         if ids:
-            yield chunk_of(chunk, parts, ids, sizes, nodes, sets, own)
+            yield from packed(chunk_of(chunk, parts, ids, sizes, nodes, sets, own))
+            ids, sizes, nodes, sets, own, known = [], [], [], [], [], set()
+        release()
 
     return run
 
@@ -127,22 +150,30 @@ def add_up(table: pa.Table) -> pa.Table:
     if table.column("kind")[0].as_py() != "sent":
         return table
     sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")])
     cuts = np.concatenate(([0], np.cumsum([len(x) for x in sent])))
-    tokens = np.concatenate(sent)
-    order = np.argsort(tokens, kind="stable")
-    ordered = tokens[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    total = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(ordered))))
-    held = np.empty(len(tokens), np.int64)
-    held[order] = total
+    held = totals(np.concatenate(sent), counts)
     out = []
     for k, (chunk, holders) in enumerate(zip(table.column("chunk").to_pylist(), table.column("holders"), strict=True)):
         own = held[cuts[k] : cuts[k + 1]]
         keep = own > 1
         if keep.any():
-            out.append({"kind": "shared", "chunk": chunk, "tokens": sent[k][keep].tobytes(), "holders": np.cumsum(np.frombuffer(holders.as_buffer(), np.uint16), dtype=np.uint16)[keep].tobytes(), "counts": np.minimum(own[keep], 0xFFFF).astype(np.uint16).tobytes()})
-    return pa.Table.from_batches([packed(out)])
+            out.append({"kind": "shared", "chunk": chunk, "tokens": sent[k][keep].tobytes(), "holders": np.cumsum(np.frombuffer(holders.as_buffer(), np.uint16), dtype=np.uint16)[keep].tobytes(), "counts": own[keep].tobytes()})
+    out = pa.Table.from_batches(packed(out), SCHEMA)
+    release()
+    return out
+
+
+def totals(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each place the sum of the counts of its token, 0xFFFF at most."""
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    del ordered
+    total = np.minimum(np.add.reduceat(counts[order], first, dtype=np.int64), 0xFFFF).astype(np.uint16)
+    held = np.empty(len(tokens), np.uint16)
+    held[order] = np.repeat(total, np.diff(np.append(first, len(tokens))))
+    return held
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -214,8 +245,9 @@ def sets_of(percent: int):
     def run(table: pa.Table) -> pa.Table:
         own = table.filter(pc.equal(table.column("kind"), "own"))
         shared = table.filter(pc.equal(table.column("kind"), "shared"))
-        read = lambda t, c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]])
-        sizes, nodes = np.array(own.column("sizes")[0].as_py(), np.int64), own.column("nodes")[0].as_py()
+        read = lambda t, c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column(c) if x.is_valid]])
+        named = own.filter(pc.is_valid(own.column("nodes")))
+        sizes, nodes = np.array(named.column("sizes")[0].as_py(), np.int64), named.column("nodes")[0].as_py()
         tokens, holders, counts = read(shared, "tokens", np.uint64), read(shared, "holders", np.uint16), read(shared, "counts", np.uint16)
         # Tokens of several nodes of the chunk: for each of these nodes.
         several = holders == SEVERAL
@@ -342,7 +374,7 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 75) -> Da
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     spark, texts = docs.sparkSession, documents(docs)
-    scratch = Scratch(spark, "ngram-join")
+    scratch = Scratch(spark, "ngram-join", batch=BATCH, group=GROUP)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, size // 6 // PART)  # words of some six bytes
     first = texts.mapInArrow(chunks(ngram, parts), PACKED).groupBy("part").applyInArrow(add_up, PACKED)

@@ -4,6 +4,9 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from brookline.llm import language, ngram_join, packing, token_orc
@@ -154,3 +157,47 @@ def test_spotsigs_query_of_odd_tables(spark, tmp_path, rows):
         third, following = len(t) // 3, ordered[(k + 1) % len(ordered)][1]
         want[d, len(t), hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest()] += 1
     assert found == want
+
+
+def test_row_groups_of_packed_tokens_are_bounded(spark, monkeypatch):
+    """A task that wrote or read large rows held the whole file, beyond the executor's memory."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 2000)
+    monkeypatch.setattr(ngram_join, "PART", 1000)
+    monkeypatch.setattr(ngram_join, "BATCH", 8000, raising=False)
+    monkeypatch.setattr(ngram_join, "GROUP", 8000, raising=False)
+    tables, table = {}, ngram_join.Scratch.table
+    monkeypatch.setattr(ngram_join.Scratch, "drop", lambda *_: None)
+    monkeypatch.setattr(ngram_join.Scratch, "table", lambda self, df, name: tables.setdefault(name, table(self, df, name)))
+    r = np.random.default_rng(5)
+    base = [" ".join(f"w{x}" for x in r.integers(0, 500, 400)) for _ in range(30)]
+    rows = [(100 + k, x) for k, x in enumerate(base)] + [(k, f"{x} more words") for k, x in enumerate(base)] + [(200, ""), (201, None)]
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {x.doc_id: x.component_id for x in found.collect()} == {d: d if d >= 200 else d % 100 for d, _ in rows}
+    files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in tables["first"].inputFiles()]
+    assert max(x.row_group(k).total_byte_size for x in files for k in range(x.num_row_groups)) < 40_000
+
+
+@pytest.mark.parametrize("row", [100, 10**9])
+def test_cut_rows_of_packed_tokens_say_the_same(row, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROW", row)
+    monkeypatch.setattr(ngram_join, "DOCUMENTS", row // 50)
+    monkeypatch.setattr(ngram_join, "BATCH", 8000)
+    r = np.random.default_rng(5)
+    common = r.integers(0, 2**64, 2000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((r.choice(common, 600), r.integers(0, 2**64, k, dtype=np.uint64)))) for k in range(10)]
+    batches = []
+    for chunk, own in enumerate((sets[:4], sets[4:])):
+        ids = [10 * chunk + k for k in range(len(own))]
+        batches += ngram_join.packed(ngram_join.chunk_of(chunk, 3, ids, [len(x) for x in own], ids, list(own), ids))
+    if row == 100:
+        assert max(x.nbytes for x in batches) < 16_000
+        assert max(len(x or b"") for b in batches for x in b.column("tokens").to_pylist()) == 800
+        assert max(len(x or []) for b in batches for x in b.column("ids").to_pylist()) == 2
+    rows = pa.Table.from_batches(batches)
+    rows = pa.concat_tables([ngram_join.add_up(rows.filter(pc.equal(rows.column("part"), p))) for p in sorted(set(rows.column("part").to_pylist()))])
+    found = {}
+    for chunk in range(2):
+        for x in ngram_join.sets_of(50)(rows.filter(pc.equal(rows.column("chunk"), chunk))).to_pylist():
+            found[x["node"]] = x["n"], x["lone"], sorted(np.frombuffer(x["tokens"], np.uint64).tolist())
+    times = collections.Counter(t for x in sets for t in x.tolist())
+    assert found == {k if k < 4 else k + 6: (len(x), sum(times[t] == 1 for t in x.tolist()), [t for t in x.tolist() if times[t] > 1]) for k, x in enumerate(sets)}
