@@ -4,6 +4,10 @@ Pieces never span white space, and white space is dropped, so a text is encoded
 of a task only once. Texts of characters below U+0250, without the four separators U+001C-U+001F (which Python takes
 for white space) and without ``<|`` (which may start an added token) take that path; NFC leaves them as they are. All
 other texts go to the library whole.
+
+``LibraryEncoder.flat`` does so with whole columns: pieces are cut by the kinds of neighbouring bytes, and Python sees
+only the distinct pieces of a slice. There, texts with letters whose lower case is longer or beyond U+024F go to the
+library too.
 """
 
 from __future__ import annotations
@@ -16,6 +20,10 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import string_bytes
 
 #: Set before the library loads: its threads would contend with Spark's tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,6 +68,38 @@ def latin_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{some(spaces)}{letters}{numbers}]+")
 
 
+#: Kinds of the characters below U+0250: white space, letters, numbers, others.
+KIND = np.array([0 if chr(i).isspace() else {"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(0x250)], np.uint8)
+#: RE2 pattern of what sends a text of a column to the library whole.
+HARD = "<\\||[\\x1c-\\x1f%s\\x{250}-\\x{10ffff}]" % "".join(f"\\x{{{i:x}}}" for i in range(0x250) if len(chr(i).lower()) > 1 or chr(i).lower() >= "\u0250")
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case pieces, as ``latin_pattern`` finds them, of texts without HARD, and the n + 1 piece offsets of the texts."""
+    # The space keeps the last piece of a text apart from the next text.
+    data, offsets = string_bytes(pc.binary_join_element_wise(pc.utf8_lower(texts.cast(pa.large_string())), *pa.array(["", " "], pa.large_string())))
+    kind = KIND[data]
+    lead = np.flatnonzero(data >= 0x80)[::2]  # all others take two bytes
+    kind[lead] = kind[lead + 1] = KIND[(data[lead].astype(np.int32) & 31) << 6 | data[lead + 1] & 63]
+    begins = kind == 2  # a number is a piece of its own
+    begins[:1] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[lead + 1] = False
+    # Endings: an apostrophe that starts a run of others takes the letters of an ending, and the rest is another piece.
+    quote = np.flatnonzero(begins & (data == ord("'")))
+    a, b = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+    one = quote[np.isin(a, np.frombuffer(b"stmd", np.uint8))]
+    two = quote[((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))]
+    begins[one + 1] = begins[two + 1] = False
+    begins[one + 2] = begins[two + 3] = True
+    starts = np.flatnonzero(begins)
+    own = kind[starts] > 0
+    ends = np.cumsum(np.diff(starts, append=len(data))[own])
+    bounds = np.concatenate(([0], ends))
+    pieces = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(bounds), pa.py_buffer(data[kind > 0]))
+    return pieces, np.searchsorted(starts[own], offsets)
+
+
 class LibraryEncoder:
     """Ids of texts as little-endian unsigned 16-bit integers (the vocabulary has 49,408 ids).
 
@@ -112,6 +152,28 @@ class LibraryEncoder:
         known = self.cache.known.__getitem__
         return [np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() if words is None else b"".join(map(known, words)) for x, words in zip(texts, split, strict=True)]
 
+    def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts without nulls, one after another, ``end`` after each text, and their numbers."""
+        hard = pc.match_substring_regex(texts, HARD)
+        pieces, rows = cut(pc.if_else(hard, pa.scalar("", texts.type), texts))
+        pieces = pieces.dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split()
+        self.pieces.add([distinct])
+        own = list(map(self.pieces.known.__getitem__, distinct))
+        # What follows the pieces of a text: its end, or all of a text that went to the library.
+        last = np.full(len(texts), len(own), np.int32)
+        whole = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+        last[whole] += np.arange(1, len(whole) + 1, dtype=np.int32)
+        own += [end, *(np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() + end for x in texts.take(pa.array(whole)).to_pylist())]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 2
+        ids, first = np.frombuffer(b"".join(own), np.uint16), np.cumsum(lengths) - lengths
+        parts = np.insert(pieces.indices.to_numpy(), rows[1:], last)
+        n = lengths[parts]
+        ends = np.cumsum(n)
+        at = np.repeat(first[parts] - (ends - n), n)
+        at += np.arange(len(at))
+        return ids[at], np.diff(ends[rows[1:] + np.arange(len(texts))], prepend=0)
+
 
 @functools.lru_cache(1)
 def library_encoder(path: str) -> LibraryEncoder:

@@ -14,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
-from .pretokens import default_path, library_encoder, slices
+from .common import Scratch, documents, pieces
+from .pretokens import default_path, library_encoder
 
+#: Bytes of texts that are encoded at once, or one longer text.
+SLICE = 4_000_000
 FILE_SCHEMA = "doc_id long, local_start long, n_tokens int, ids array<int>"
 #: ORC writer settings: index rows, Bloom filter column and false-positive rate, stripe bytes. A task writes one file
 #: whatever the session says, since starts count within files.
@@ -33,13 +36,11 @@ def token_rows(path: str, end_id: int | None):
         encoder, start = library_encoder(path), 0
         end = b"" if end_id is None else np.uint16(end_id).tobytes()
         for batch in rows:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 2_000_000):
-                ids = [x + end for x in encoder.ids(texts[a:b])]
-                lengths = np.array([len(x) // 2 for x in ids], np.int64)
+            texts = batch.column("text")
+            for a, b in pieces(np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64))), SLICE):
+                ids, lengths = encoder.flat(texts.slice(a, b - a), end)
                 ends = start + np.cumsum(lengths)
-                values = np.frombuffer(b"".join(ids), np.uint16).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(ends - lengths), pa.array(lengths.astype(np.int32)), lists], ["doc_id", "local_start", "n_tokens", "ids"])
                 start = int(ends[-1])
 
