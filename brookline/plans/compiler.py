@@ -98,7 +98,8 @@ class Compiler:
             return self._global_aggregate(frame, fields)
         tree = len(below) == 1 and not flat
         children: dict[int, tuple[Frame, list[tuple[str, str]]]] = {}
-        for k, f in enumerate(below):
+        steps = []
+        for f in below:
             relation = model.relations.get(f.name)
             if relation is None:
                 raise QueryError(f"unknown relation {f.name}", "AssociationNotFound", "execution", "query", *f.pos)
@@ -108,8 +109,13 @@ class Compiler:
             if relation.local not in frame.columns:
                 raise QueryError(f"relation {f.name} needs column {relation.local}", "ColumnNotFound", "execution", "query", *f.pos)
             nullable = model.columns[relation.local].nullable and target.columns[relation.target_column].nullable
-            frame = nested.joined_tree(frame, relation.local, child, names, f.name, nullable) if tree else nested.joined_flat(frame, relation.local, child, f"r{k}", nullable)
+            steps.append((relation.local, child, nullable, model.columns[relation.local].primary, target.columns[relation.target_column].primary))
             children[id(f)] = child, names
+        dealt = nested.deals(frame, steps) if steps and not tree else []
+        if any(dealt):
+            frame = replace(frame, df=frame.df.withColumn(nested.ROW, F.monotonically_increasing_id()))
+        for k, (f, (local, child, nullable, *_)) in enumerate(zip(below, steps, strict=True)):
+            frame = nested.joined_tree(frame, local, child, children[id(f)][1], f.name, nullable) if tree else nested.joined_flat(frame, local, child, f"r{k}", nullable, dealt[k])
         if below and (frame.order or ORDER in frame.df.columns):
             ranks = [] if tree else [F.col(f"r{k}{nested.RANK}") for k in range(len(below))]
             frame = replace(frame, df=frame.df.orderBy(*frame.order, *([F.col(ORDER)] if ORDER in frame.df.columns else []), *ranks))
